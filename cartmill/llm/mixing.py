@@ -44,7 +44,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats:
     fits = F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))
     return (
         ranked.withColumn("level", level)
-        .withColumn("level", F.min(fits).over(all_rows))
+        .withColumn("level", F.max(fits).over(all_rows))  # the first that fits: later ones only fall
         .withColumn("target", F.coalesce(F.least(F.col("cap"), F.col("level") * F.col("w")), F.col("cap")))
         .select("source", "source_size", "rank", "target")
     )
@@ -59,23 +59,23 @@ def position(u: Column, slope: Column) -> Column:
 
 def mix(docs: DataFrame, seed: int = 7, rows: int | None = None) -> DataFrame:
     """Adds size, source_size, target, taken, copies and position; `position` is that of the document's first copy."""
-    named = docs.drop("size", "source_size", "target", "taken", "copies", "position", "__key", "__before")
+    named = docs.drop("size", "source_size", "target", "taken", "copies", "position", "__key", "__ahead")
     sized = named.withColumns({"size": n_words(F.col("text")), "__key": F.xxhash64(F.lit(seed), "doc_id"), "__tie": F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))})
-    return plan_mix(sized, docs.count() if rows is None else rows).drop("__key", "__tie", "__before")
+    return plan_mix(sized, docs.count() if rows is None else rows).drop("__key", "__tie", "__ahead")
 
 
 def plan_mix(sized: DataFrame, rows: int) -> DataFrame:
     """The same over rows that have size, source, __key and __tie already."""
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes).withColumnRenamed("source", "__source")
-    run = running(sized, "source", "__key", block_count(rows), "size", ["__tie", "size"], "__before")
+    run = running(sized, "source", "__key", block_count(rows), "size", ["__tie", "size"], "__ahead")
     joined = run.join(plan, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - epochs * F.col("source_size")
-    extra = (F.col("size") > 0) & (F.col("__before") + F.col("size") / 2 <= rest)
+    extra = (F.col("size") > 0) & (F.col("__ahead") + F.col("size") / 2 <= rest)
     copies = F.when(F.col("size") > 0, epochs + extra.cast("int")).otherwise(F.lit(0)).cast("int")
     slope = F.element_at(F.array(*map(F.lit, SLOPES)), (F.col("rank") % len(SLOPES) + 1).cast("int"))
-    u = F.when(F.col("target") > 0, F.least(F.col("__before") / F.col("target"), F.lit(1.0))).otherwise(F.lit(1.0))
+    u = F.when(F.col("target") > 0, F.least(F.col("__ahead") / F.col("target"), F.lit(1.0))).otherwise(F.lit(1.0))
     return joined.withColumns({"copies": copies, "taken": copies * F.col("size"), "position": position(u, slope)}).drop("rank")
 
 
