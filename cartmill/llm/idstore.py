@@ -5,8 +5,10 @@ where a rolling hash of the last ids says so, so equal passages give equal chunk
 is named by the SHA-256 of its bytes and stored once. A document's recipe lists its chunks; a manifest of the
 recipes forms a Merkle tree of one leaf a document, whose root a reader verifies before it trusts the ids.
 
-In the shared folder a store has
-- chunks/   parquet (digest, n_ids, data): every distinct chunk once; data is little-endian unsigned 32-bit ids
+A store has
+- a table of chunks (digest, n_ids, data), bucketed by digest: every distinct chunk once; data is Zstandard over
+  little-endian ids of two bytes each where the vocabulary has at most 65,536 ids, else four; the digest is the
+  SHA-256 of the bytes before compression
 - recipes/  parquet (part, seq, doc, start, n_tokens, leaf, digests): one row a document, in order in each part
 - manifest/ parquet (part, n_docs, n_tokens, root): one row a part; `store_root` combines the parts' roots
 
@@ -19,10 +21,9 @@ once. Texts of any length are encoded whole. An empty table gives an empty store
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
-import zlib
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ END_ID = 0
 #: A chunk ends after an id where the rolling hash of the last WINDOW ids has CUT_BITS zero bits, and at MAX_IDS.
 WINDOW, CUT_BITS, MIN_IDS, MAX_IDS = 16, 11, 256, 16_384
 ROLL = 0xD1342543DE82EF95
-MEMO_PIECES = 300_000
+MEMO_PIECES = 500_000
+IDS_PER_BUCKET = 16_000_000
 
 
 class Encoder:
@@ -45,25 +47,26 @@ class Encoder:
 
     A byte-level vocabulary never joins across a single space between two characters that are not white space:
     the space opens the next piece. So a text is cut there, and each distinct piece is encoded once and
-    remembered. The memo holds encodings only; it is emptied when full, which changes no result.
+    remembered. The memo holds encodings only; once it is full, further pieces are encoded each time.
     """
 
     def __init__(self, path: str, memo: int = MEMO_PIECES):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers, without an end id."""
+        """Each text's ids as little-endian unsigned integers of `width` bytes, without an end id."""
         cut = [self.pieces(t or "") for t in texts]
-        if len(self.known) > self.memo:
-            self.known = {}
-        known = self.known
+        known, kind = self.known, f"<u{self.width}"
         new = list(dict.fromkeys(x for pieces in cut for x in pieces if x not in known))
+        if len(known) + len(new) > self.memo:
+            known = {x: known[x] for pieces in cut for x in pieces if x in known}
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             for piece, code in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[piece] = np.array(code.ids, "<u4").tobytes()
+                known[piece] = np.array(code.ids, kind).tobytes()
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
     @staticmethod
@@ -95,7 +98,7 @@ def cuts(ids: np.ndarray) -> list[int]:
         rolled = sum(x[k : n - WINDOW + 1 + k] * weights[k] for k in range(WINDOW))
     ends = np.flatnonzero((rolled >> np.uint64(64 - CUT_BITS)) == 0) + WINDOW
     out, last = [], 0
-    for e in [*ends.tolist(), n]:
+    for e in [*ends[ends < n].tolist(), n]:
         while e - last > MAX_IDS:
             last += MAX_IDS
             out.append(last)
@@ -121,53 +124,73 @@ def leaf(doc: int | None, digests: list[bytes]) -> bytes:
     return hashlib.sha256(b"\x00" + repr(doc).encode() + b"".join(digests)).digest()
 
 
-ENCODED = "doc long, n_tokens long, digests array<binary>, leaf binary, fresh array<struct<digest:binary,data:binary>>"
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder of a vocabulary; its memo serves all tasks of the worker."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def pack(raw: bytes) -> bytes:
+    return pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n_bytes: int) -> bytes:
+    return pa.decompress(data, decompressed_size=n_bytes, codec="zstd", asbytes=True)
+
+
+FRESH = pa.struct([("digest", pa.binary()), ("n_ids", pa.int64()), ("data", pa.binary())])
+ENCODED = pa.schema([("doc", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("leaf", pa.binary()), ("fresh", pa.list_(FRESH))])
+ENCODED_DDL = "doc long, n_tokens long, digests array<binary>, leaf binary, fresh array<struct<digest:binary,n_ids:long,data:binary>>"
 
 
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
+        w = encode.width
         seen: set[bytes] = set()
-        schema = pa.schema([("doc", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("leaf", pa.binary()), ("fresh", pa.list_(pa.struct([("digest", pa.binary()), ("data", pa.binary())])))])
         for batch in batches:
-            docs = batch.column(0).to_pylist()
-            for i in range(0, len(docs), 256):
+            for i in range(0, len(batch), 128):
+                docs, texts = batch.column(0).slice(i, 128).to_pylist(), batch.column(1).slice(i, 128).to_pylist()
                 rows = []
-                for doc, code in zip(docs[i : i + 256], encode(batch.column(1).slice(i, 256).to_pylist()), strict=True):
-                    ids = np.frombuffer(code, "<u4")
-                    data = code + int(END_ID).to_bytes(4, "little")
-                    ends = cuts(ids)
-                    ends[-1] = len(ids) + 1
+                for doc, code in zip(docs, encode(texts), strict=True):
+                    data = code + int(END_ID).to_bytes(w, "little")
                     digests, fresh, at = [], [], 0
-                    for e in ends:
-                        piece = data[4 * at : 4 * e]
-                        d = hashlib.sha256(piece).digest()
+                    for e in cuts(np.frombuffer(data, f"<u{w}")):
+                        raw = data[w * at : w * e]
+                        d = hashlib.sha256(raw).digest()
                         digests.append(d)
                         if d not in seen:
                             seen.add(d)
-                            fresh.append({"digest": d, "data": piece})
+                            fresh.append({"digest": d, "n_ids": e - at, "data": pack(raw)})
                         at = e
-                    rows.append((doc, len(data) // 4, digests, leaf(doc, digests), fresh))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows.append((doc, len(data) // w, digests, leaf(doc, digests), fresh))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), ENCODED, strict=True)], schema=ENCODED)
             if len(seen) > 200_000:
                 seen.clear()
 
     return run
 
 
-def write_store(docs: DataFrame, folder: str, path: str, doc: str = "doc_id", text: str = "text") -> None:
-    """Writes a store of the documents, in ascending order of `doc` (nulls last)."""
+def write_store(docs: DataFrame, folder: str, chunks: str, path: str, doc: str = "doc_id", text: str = "text") -> None:
+    """Writes a store of the documents, in ascending order of `doc` (nulls last): recipes and manifest under `folder`, chunks as a table."""
     spark = docs.sparkSession
-    ordered = docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
-    encoded = ordered.mapInArrow(_encode(path), ENCODED)
-    encoded.write.parquet(f"{folder}/encoded")
+    docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(_encode(path), ENCODED_DDL).write.parquet(f"{folder}/encoded")
     encoded = spark.read.parquet(f"{folder}/encoded")
-    fresh = encoded.select(F.explode("fresh").alias("c")).select("c.digest", "c.data")
-    # one copy of each chunk: of the writers' copies of a digest all are equal, so any stays
-    fresh.groupBy("digest").agg(F.min("data").alias("data")).withColumn("n_ids", (F.length("data") / 4).cast("long")).write.parquet(f"{folder}/chunks")
+    n_ids = encoded.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    buckets = 1 << max(3, math.ceil(math.log2(max(1, n_ids) / IDS_PER_BUCKET)))
+    fresh = encoded.select(F.explode("fresh").alias("c")).select("c.*").repartition(buckets, "digest")
+    # equal digests meet in one task, one after the other once sorted
+    last = Window.partitionBy("digest").orderBy("n_ids")
+    once = fresh.withColumn("nth", F.row_number().over(last)).filter("nth = 1").drop("nth")
+    once.write.bucketBy(buckets, "digest").format("parquet").saveAsTable(chunks)
     light = encoded.select("doc", "n_tokens", "digests", "leaf")
     ranged = light.repartitionByRange(F.col("doc").asc_nulls_last()).sortWithinPartitions(F.col("doc").asc_nulls_last(), "leaf")
     ranged.withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).write.parquet(f"{folder}/sorted")
+    delete(spark, f"{folder}/encoded")
     parts = spark.read.parquet(f"{folder}/sorted")
     sums = parts.groupBy("part").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("n_docs"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
@@ -177,6 +200,13 @@ def write_store(docs: DataFrame, folder: str, path: str, doc: str = "doc_id", te
     recipes.select("part", "seq", "doc", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "leaf", "digests").write.parquet(f"{folder}/recipes")
     roots = _roots(spark.read.parquet(f"{folder}/recipes"))
     roots.join(sums.select("part", "n_docs", F.col("n").alias("n_tokens")), "part").write.parquet(f"{folder}/manifest")
+    delete(spark, f"{folder}/sorted")
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this module wrote, in whatever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _roots(recipes: DataFrame) -> DataFrame:
@@ -202,21 +232,49 @@ def store_root(spark: SparkSession, folder: str) -> bytes:
     return merkle([bytes(r["root"]) for r in spark.read.parquet(f"{folder}/manifest").orderBy("part").select("root").toLocalIterator()])
 
 
-def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """doc, start, n_tokens and ids (bytes) of each document, put together from chunks and verified.
+def read_store(spark: SparkSession, folder: str, chunks: str) -> DataFrame:
+    """doc, start, n_tokens and ids (little-endian unsigned 32-bit) of each document, put together and verified.
 
-    Each chunk is checked against its name and each document against its leaf; a part whose leaves don't give
-    the manifest's root, and a document with a chunk missing or damaged, raise an error.
+    Each chunk is checked against its name. A part whose recipes don't give the manifest's root, and a
+    document with a chunk missing or damaged, raise an error.
     """
-    recipes, chunks = spark.read.parquet(f"{folder}/recipes"), spark.read.parquet(f"{folder}/chunks")
-    wrong = spark.read.parquet(f"{folder}/manifest").withColumnRenamed("root", "said").join(_roots(recipes), "part", "full").filter(~F.col("said").eqNullSafe(F.col("root"))).limit(1).count()
-    if wrong:
+    recipes = spark.read.parquet(f"{folder}/recipes")
+    said = spark.read.parquet(f"{folder}/manifest").withColumnRenamed("root", "said")
+    if said.join(_roots(recipes), "part", "full").filter(~F.col("said").eqNullSafe(F.col("root"))).limit(1).count():
         raise ValueError("a part's recipes don't match the manifest")
-    true = chunks.select("digest", F.when(F.unhex(F.sha2("data", 256)) == F.col("digest"), F.col("data")).otherwise(F.raise_error(F.lit("a chunk doesn't match its name"))).alias("data"))
-    needs = recipes.select("part", "seq", "doc", "start", "n_tokens", F.posexplode("digests").alias("k", "digest"))
-    got = needs.join(true, "digest", "left").groupBy("part", "seq", "doc", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("k", "data"))).alias("pieces"))
-    data = F.aggregate(F.col("pieces"), F.lit(b""), lambda s, p: F.concat(s, p["data"]))
-    return got.select("doc", "start", "n_tokens", data.alias("ids")).withColumn("ids", F.when(F.length("ids") == 4 * F.col("n_tokens"), F.col("ids")).otherwise(F.raise_error(F.lit("a chunk is missing"))))
+    needs = recipes.select("part", "seq", F.posexplode("digests").alias("k", "digest"))
+    got = needs.join(spark.table(chunks), "digest", "left").groupBy("part", "seq").agg(F.array_sort(F.collect_list(F.struct("k", "digest", "n_ids", "data"))).alias("pieces"))
+    rows = recipes.select("part", "seq", "doc", "start", "n_tokens").join(got, ["part", "seq"], "left").select("doc", "start", "n_tokens", "pieces")
+    return rows.mapInArrow(_put_together, "doc long, start long, n_tokens long, ids binary")
+
+
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, len(batch), 128):
+            rows = batch.slice(i, 128)
+            ids = [_joined(pieces or [], n) for pieces, n in zip(rows.column(3).to_pylist(), rows.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(ids, pa.binary())], ["doc", "start", "n_tokens", "ids"])
+
+
+def _joined(pieces: list[dict], n_tokens: int) -> bytes:
+    out = []
+    for p in pieces:
+        if p["data"] is None:
+            raise ValueError("a chunk is missing")
+        for width in (2, 4):
+            try:
+                raw = unpack(p["data"], width * p["n_ids"])
+            except (OSError, ValueError):
+                continue
+            if hashlib.sha256(raw).digest() == p["digest"]:
+                out.append(np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes())
+                break
+        else:
+            raise ValueError("a chunk doesn't match its name")
+    ids = b"".join(out)
+    if len(ids) != 4 * n_tokens:
+        raise ValueError("a document's chunks don't add up to its ids")
+    return ids
 
 
 def store_report(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -226,6 +284,7 @@ def store_report(docs: DataFrame, path: str | None = None) -> DataFrame:
         import public_tokenizers
 
         path = str(public_tokenizers.path(VOCABULARY))
-    folder = f"{shared_dir(spark)}/idstore-{uuid.uuid4().hex}"
-    write_store(docs, folder, path)
-    return read_store(spark, folder).select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    name = f"idstore_{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{name}"
+    write_store(docs, folder, name, path)
+    return read_store(spark, folder, name).select(F.col("doc").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

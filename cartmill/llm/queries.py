@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartmill.llm import mixing, rule_ledger, sharding
+from cartmill.llm import idstore, mixing, rule_ledger, sharding
 from cartmill.llm.text import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_curriculum_mix": _docs(mixing.mix_report),
         "op7_jump_shards": _docs(sharding.shard_report),
+        "op8_id_store": _docs(idstore.store_report),
         "op10_rule_ledger": _docs(rule_ledger.rules_report),
     }
 
