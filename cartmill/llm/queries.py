@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartmill.llm import idstore, mixing, rule_ledger, sharding
+from cartmill.llm import idstore, mixing, ngram_lm, rule_ledger, sharding
 from cartmill.llm.text import table
 
 
@@ -16,6 +16,7 @@ def _docs(report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, s
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_kneser_ney": _docs(ngram_lm.score_report),
         "op5_curriculum_mix": _docs(mixing.mix_report),
         "op7_jump_shards": _docs(sharding.shard_report),
         "op8_id_store": _docs(idstore.store_report),
