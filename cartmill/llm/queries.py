@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartmill.llm import idstore, mixing, ngram_lm, rule_ledger, sharding
+from cartmill.llm import idstore, mixing, ngram_join, ngram_lm, rule_ledger, sharding
 from cartmill.llm.text import table
 
 
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_curriculum_mix": _docs(mixing.mix_report),
         "op7_jump_shards": _docs(sharding.shard_report),
         "op8_id_store": _docs(idstore.store_report),
+        "op9_ngram_join": _docs(ngram_join.join_report),
         "op10_rule_ledger": _docs(rule_ledger.rules_report),
     }
 
