@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartmill.llm import idstore, mixing, ngram_join, ngram_lm, rule_ledger, sharding
+from cartmill.llm import decontam, idstore, mixing, ngram_join, ngram_lm, rule_ledger, sharding
 from cartmill.llm.text import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_kneser_ney": _docs(ngram_lm.score_report),
         "op5_curriculum_mix": _docs(mixing.mix_report),
+        "op6_simhash_decontam": lambda spark, sf_dir: decontam.match_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op7_jump_shards": _docs(sharding.shard_report),
         "op8_id_store": _docs(idstore.store_report),
         "op9_ngram_join": _docs(ngram_join.join_report),

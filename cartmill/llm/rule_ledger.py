@@ -26,11 +26,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
-def repeat_words(ws: Column, window: int = WINDOW) -> Column:
-    """Words covered by windows that occur twice or more. A text without equal windows costs one hash set."""
-    n = F.size(ws) - (window - 1)
-    hashes = F.when(n > 1, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(ws, i, window))))
-    return hashes
+def window_hashes(ws: Column, window: int = WINDOW) -> Column:
+    """A hash of each window of words, in text order; null where there are fewer than two."""
+    n = F.size(ws) - window
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get(ws, i + k) for k in range(window)])))
 
 
 def repeat_cover(hashes: Column, window: int = WINDOW) -> Column:
@@ -74,7 +73,7 @@ def measure(docs: DataFrame) -> DataFrame:
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.size("__lines").cast("long").alias("n_lines"),
         "n_chars",
-        repeat_words(F.col("__w")).alias("__h"),
+        window_hashes(F.col("__w")).alias("__h"),
     )
     same = F.col("__h").isNull() | (F.size(F.array_distinct("__h")) == F.size("__h"))
     return second.withColumn("n_repeat_words", F.when(same, F.lit(0).cast("long")).otherwise(repeat_cover(F.col("__h")))).drop("__h")
