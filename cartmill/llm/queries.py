@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartmill.llm import decontam, idstore, mixing, ngram_join, ngram_lm, rule_ledger, sharding
+from cartmill.llm import decontam, idstore, langid, mixing, ngram_join, ngram_lm, rule_ledger, sharding
 from cartmill.llm.text import table
 
 
@@ -16,6 +16,7 @@ def _docs(report: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, s
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": _docs(langid.language_report),
         "op4_kneser_ney": _docs(ngram_lm.score_report),
         "op5_curriculum_mix": _docs(mixing.mix_report),
         "op6_simhash_decontam": lambda spark, sf_dir: decontam.match_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
