@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartmill.llm import decontam, idstore, langid, mixing, ngram_join, ngram_lm, pii, rule_ledger, sharding
+from cartmill.llm import decontam, idstore, langid, mixing, ngram_join, ngram_lm, pii, rule_ledger, rulefit, sharding
 from cartmill.llm.text import table
 
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": _docs(langid.language_report),
         "op2_pii_votes": _docs(pii.pii_report),
+        "op3_rule_ensemble": lambda spark, sf_dir: rulefit.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
         "op4_kneser_ney": _docs(ngram_lm.score_report),
         "op5_curriculum_mix": _docs(mixing.mix_report),
         "op6_simhash_decontam": lambda spark, sf_dir: decontam.match_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
