@@ -1,8 +1,89 @@
-"""From raw documents to training shards, stage by stage."""
+"""From raw documents to training shards: five stages, each over all that the one before kept.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes as Parquet to the shared
+folder and reads again for the next. All but the last return the columns of documents.
+
+- language: documents without a language (no letter), or whose language the model doubts, go
+- near_duplicates: of each group of documents linked by shingle similarity, the one with the least doc_id stays; of equal rows, one
+- decontaminate: documents with a passage of a benchmark item go
+- mix: each source's documents are taken as often as its target asks (not at all, or up to three times), in training order
+- shards: each row gets its shard and its slot there
+
+Stages read only the columns that they name; rows with null in others pass. An empty table gives empty stages.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cartmill.llm import decontam, langid, mixing, ngram_join, sharding
+from cartmill.llm.text import shared_dir, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+SURE = 0.5
+SHARDS = 24
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    given = docs.select(*COLUMNS)
+    model = langid.train(given, langid.default_path())
+    return langid.identify(given, model).filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= SURE)).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document with an empty set is linked with none and stays, as do all rows whose doc_id is null and that nothing links."""
+    given = docs.select(*COLUMNS)
+    found = ngram_join.join(given).select(F.col("doc_id").alias("__doc"), F.col("component_id").alias("__first"))
+    goes = found.filter((F.col("__doc") != F.col("__first")) | (F.col("__doc").isNull() & F.col("__first").isNotNull())).select("__doc").distinct()
+    kept = given.join(goes, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
+    # equal rows have one doc_id; only rows whose doc_id repeats are compared, and those are few beside the texts
+    twice = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice"))
+    if twice.limit(1).count() == 0:
+        return kept
+    again = kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(again)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontam.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it, range-sorted by training position: copy k of n comes k/n of the way on from the first."""
+    mixed = mixing.mix(docs.select(*COLUMNS))
+    copies = mixed.filter("copies > 0").withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    at = F.col("position") + (1 - F.col("position")) * F.col("__k") / F.col("copies")
+    return copies.withColumn("__at", at).repartitionByRange("__at", "doc_id").sortWithinPartitions("__at", "doc_id").select(*COLUMNS)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents, and shard, grown_shard and slot."""
+    given = docs.select(*COLUMNS)
+    text = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return sharding.assign_shards(given, "doc_id", SHARDS, [text, F.col("n_chars")])
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+    ("shards", shards),
+]
+
+#: SQL can express neither the language model nor the hashes; tests/llm hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder."""
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
+        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+    return docs
