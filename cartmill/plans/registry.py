@@ -1,4 +1,4 @@
-"""All queries of the price engine by name."""
+"""All queries of the price engine by name, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartmill.plans.oracle import SQL
+from cartmill.plans.queries import all_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return all_queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
