@@ -1,0 +1,586 @@
+"""Each operator against brute force, on small documents with nulls, repeats and odd texts."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from cartmill.llm import decontam, idstore, langid, mixing, ngram_join, ngram_lm, pii, rule_ledger, rulefit, sharding, wordhash
+
+DDL = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, __key string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({c: c.lower() for c in map(chr, range(65, 91))})
+
+
+def words(t):
+    return WORD.findall((t or "").translate(LOWER))
+
+
+def crc(doc, n):
+    return zlib.crc32(str(doc).encode() if doc is not None else b"") % n
+
+
+def texts():
+    rnd = random.Random(5)
+    vocabulary = [a + b for a in ("ka", "lo", "mi", "tu", "zé") for b in ("na", "ro", "s", "t", "")]
+    base = [" ".join(rnd.choices(vocabulary, k=rnd.randint(1, 60))) for _ in range(25)]
+    out = list(base)
+    for t in base[:12]:
+        w = t.split()
+        for _ in range(3):
+            v = list(w)
+            v[rnd.randrange(len(v))] = rnd.choice(vocabulary)
+            out.append(" ".join(v))
+    out += base[:5]
+    odd = [None, "", " \n\t", "one", "One two\nthree four", "a  b   c\n\n d <|endoftext|> x", "é" * 50, "x " * 400, "no-break space 　 日本 語", "***", "same\nsame\n\nsame\nsame", "1 2 3", "word" * 300]
+    return out + odd
+
+
+@pytest.fixture(scope="module")
+def rows():
+    langs, sources = ("en", "fr", None), ("b", "a", None, "ä", "c")
+    out = [(i, t, langs[i % 3], sources[i % 5] if i % 7 else "a", None, "clash", "clash", None) for i, t in enumerate(texts())]
+    return [*out, out[3], (None, "null id text here now", "en", "b", 1, None, None, None), (None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DDL).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DDL)
+
+
+def test_word_hashes():
+    given = texts()
+    col = pa.array(given)
+    seen, of = {}, defaultdict(set)
+    flat = []
+    for w in wordhash.chunks(col, 200):
+        assert w.counts.tolist() == [len(words(t)) for t in given[w.first : w.first + w.n_docs]]
+        flat += w.hashes.tolist()
+    for t, h in zip((x for t in given for x in words(t)), flat, strict=True):
+        assert seen.setdefault(t, h) == h
+        of[h].add(t)
+    assert all(len(x) == 1 for x in of.values())
+    sliced = list(wordhash.chunks(col.slice(3, 5)))
+    assert sum(w.counts.sum() for w in sliced) == sum(len(words(t)) for t in given[3:8])
+
+
+# ---- 1
+
+
+def test_forward_sums_all_segmentations():
+    vocabulary = ["a", "b", "ab", "ba", "aba"]
+    lattice = langid.Lattice(vocabulary)
+    rnd = np.random.default_rng(0)
+    p = rnd.random((lattice.size, 2))
+    p[0] = 0
+    number = {v: i + 1 for i, v in enumerate(sorted(vocabulary, key=lambda x: (len(x), x)))}
+    lattice = langid.Lattice(sorted(vocabulary, key=lambda x: (len(x), x)))
+
+    def total(word, lang):
+        if not word:
+            return 1.0
+        return sum((p[number[word[:n]], lang] if word[:n] in number else p[-1, lang] if n == 1 else 0) * total(word[n:], lang) for n in range(1, min(8, len(word)) + 1))
+
+    some = ["abab", "b", "aabba", "axb"]
+    x = lattice.of(some)
+    alpha = langid.forward(x, p)
+    for row, (i, n) in enumerate(zip(x[0], x[1], strict=True)):
+        assert alpha[row, n] == pytest.approx([total(some[i], 0), total(some[i], 1)])
+    counts = langid.expected(x, p, np.ones((4, 2)))
+    letters = sum(counts[number.get(v, 0), 0] * len(v) for v in vocabulary) + counts[-1, 0]
+    assert letters == pytest.approx(sum(map(len, some)))
+
+
+def test_language(spark, docs, rows, empty):
+    train = [("en", "the cat and the dog with them"), ("fr", "le chat et le chien avec eux")]
+    made = [(i, t, lang, None, None, None, None, None) for i, (lang, t) in enumerate(train * 30)]
+    got = langid.language_report(spark.createDataFrame([*made, (900, "THE DOG", None, None, None, None, None, None), (901, "12 !", None, None, None, None, None, None), (902, None, "en", None, None, None, None, None)], DDL)).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == 63 and by[900]["lang_pred"] == "en" and by[901]["lang_pred"] == by[902]["lang_pred"] == "und"
+    assert all(by[i]["lang_pred"] == made[i][2] and by[i]["held_out"] == (crc(i, 3) == 1) for i in range(60))
+    every = langid.language_report(docs).collect()
+    assert len(every) == len(rows) and all(0 <= r["score"] <= 1 for r in every)
+    assert langid.language_report(empty).collect() == []
+
+
+def test_language_on_held_out(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    got = langid.language_report(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out")
+    assert got.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
+
+
+# ---- 2
+
+
+def luhn(d):
+    return sum((2 * int(c) - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def base(t):
+    t, out, digits = t or "", [], lambda s: re.sub("[^0-9]", "", s)
+    out += [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+    out += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m[0])) <= 15]
+    return sorted(out)
+
+
+def test_base_spans():
+    rnd = random.Random(3)
+    parts = ["a.b", "@", "c-d.e", "1", "22", "+", "-", " ", "(", ")", ".", "4111 1111 1111 1111", "x@y.z", "1.2.3.4", "+1 (555) 123-4567", "%", "é", "000255"]
+    for _ in range(5000):
+        t = "".join(rnd.choices(parts, k=rnd.randint(1, 10)))
+        assert pii.base_spans(t) == base(t), t
+    for t in ("a" * 50_000, "1" * 50_000, "1." * 30_000, "@" * 50_000, "+" * 50_000):
+        pii.base_spans(t)  # linear, so this ends at once
+
+
+def test_pii(spark, empty):
+    given = ["mail x.y@z.com or call +1 (555) 123-4567", 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', None, "", "plain words only", "reach bob (at) example (dot) com", "card 4111 1111 1111 1111 from 10.0.0.1"]
+    df = spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in enumerate(given * 20)], DDL)
+    got = pii.pii_report(df).collect()
+    assert len(got) == len(given) * 20
+    for r in got:
+        t = given[r["doc_id"] % len(given)]
+        want = base(t)
+        text = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert r["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x[1] == i for x in want) for i in range(4)]
+        assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
+    added = {r["doc_id"] % len(given): r["spans"] for r in got}
+    assert added[1].startswith("secret:") and added[4] == "" and added[2] == ""
+    assert pii.pii_report(empty).collect() == []
+
+
+def test_em_finds_reliabilities():
+    rnd = random.Random(0)
+    counts = Counter()
+    for _ in range(4000):
+        true = rnd.random() < 0.5
+        vote = lambda right: (1 if true else -1) if rnd.random() < right else (-1 if true else 1)  # noqa: E731, B023
+        counts[pii.pattern_of(3, False, (vote(0.9), vote(0.6), vote(0.9), 0, vote(0.8), 0, 0))] += 1
+    _, reliability, prior = pii.aggregate(counts)
+    assert reliability["phone"][0] > 0.8 and 0.5 < reliability["phone"][1] < 0.7 and 0.4 < prior["phone"] < 0.6
+
+
+# ---- 3
+
+
+def test_rules_compile_to_the_same_scores(spark, docs, rows, empty):
+    rnd = np.random.default_rng(1)
+    x = np.abs(rnd.normal(size=(600, len(rulefit.STATISTICS))))
+    y = ((x[:, 2] > 0.8) & (x[:, 4] < 1.0)).astype(float)
+    model = rulefit.fit(x, y)
+    assert ((model.score(x) >= 0.5) == (y == 1)).mean() > 0.97 and len(model.rules) < 200
+    df = spark.createDataFrame([(i, dict(zip(rulefit.STATISTICS, map(float, v), strict=True))) for i, v in enumerate(x[:50])], f"i long, stats struct<{','.join(f'{s}:double' for s in rulefit.STATISTICS)}>")
+    got = [r[0] for r in df.orderBy("i").select(model.column()).collect()]
+    assert got == pytest.approx(model.score(x[:50]))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 60)] + [(3, 1, 0), (None, 1, 0), (5, None, None)], "doc_id long, quality int, toxic int")
+    out = rulefit.quality_report(docs, labels).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in out)
+    assert len(rulefit.quality_report(docs, labels.limit(0)).collect()) == len(rows)
+    assert rulefit.quality_report(empty, labels).collect() == []
+
+
+def test_quality_on_held_out(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = rulefit.quality_report(spark.read.parquet(f"{sf}/documents.parquet"), labels).join(labels, "doc_id").filter("held_out")
+    assert got.agg(F.avg((F.col("quality") == F.col("predicted")).cast("int"))).first()[0] > 0.85
+
+
+# ---- 4
+
+
+def kneser_ney(train):
+    n2, n1, before, after = Counter(), Counter(), defaultdict(set), defaultdict(Counter)
+    for t in train:
+        v = "<s>"
+        for w in [*words(t), "</s>"]:
+            n2[v, w] += 1
+            n1[w] += 1
+            v = w
+    context = Counter()
+    for (v, w), c in n2.items():
+        before[w].add(v)
+        after[v][min(c, 3)] += 1
+        context[v] += c
+    coc = lambda xs: [sum(1 for x in xs if x == k) for k in (1, 2, 3, 4)]
+    k = {w: len(s) for w, s in before.items()}
+    d, e = ngram_lm.discounts(*coc(n2.values())), ngram_lm.discounts(*coc(k.values()))
+    disc = lambda c, ds: 0.0 if c == 0 else ds[min(c, 3) - 1]
+    top = len(n2)
+    h = sum(e[min(x, 3) - 1] for x in k.values()) / top
+
+    def p(w, v):
+        low = max(k.get(w, 0) - disc(k.get(w, 0), e), 0) / top + h / (len(n1) + 1)
+        if v not in context:
+            return low
+        g = sum(d[i - 1] * after[v][i] for i in (1, 2, 3)) / context[v]
+        return max(n2.get((v, w), 0) - disc(n2.get((v, w), 0), d), 0) / context[v] + g * low
+
+    return p, n1
+
+
+def test_kneser_ney(docs, rows, empty):
+    got = ngram_lm.score_report(docs).collect()
+    assert len(got) == len(rows)
+    train = [r[1] for r in rows if crc(r[0], 7) != 2]
+    p, n1 = kneser_ney(train)
+    total, types = sum(n1.values()), len(n1)
+    want = []
+    for r in rows:
+        v, score, base_score, known = "<s>", 0.0, 0.0, 0
+        for w in [*words(r[1]), "</s>"]:
+            score += math.log10(p(w, v))
+            base_score += math.log10((n1[w] + 1) / (total + 1 * (types + 1)))
+            known += n1[w] > 0
+            v = w
+        want.append((str(r[0]), crc(r[0], 7) == 2, len(words(r[1])) + 1, known, total, round(base_score, 6), round(score, 6)))
+    mine = [(str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got]
+    assert sorted(mine) == sorted(want)
+    every = [*n1, "never seen"]
+    for v in ("<s>", "kana", "one"):
+        assert sum(p(w, v) for w in every) == pytest.approx(1.0)
+    assert ngram_lm.score_report(empty).collect() == []
+
+
+def test_buckets_of_hot_words_and_counts_over_255(spark, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "TOKENS_PER_BUCKET", 100)
+    df = spark.createDataFrame([(i, "the a the b the the c " * 20, None, None, None, None, None, None) for i in range(1, 30)], DDL)
+    p, n1 = kneser_ney([t.text for t in df.collect() if crc(t.doc_id, 7) != 2])
+    r = ngram_lm.score_report(df).first()
+    v, want = "<s>", 0.0
+    for w in [*words("the a the b the the c " * 20), "</s>"]:
+        want += math.log10(p(w, v))
+        v = w
+    assert r["score"] == pytest.approx(want)
+
+
+# ---- 5
+
+
+def fill(sizes, weights, cap=3.0):
+    total = sum(sizes)
+    fixed, target = set(), [0.0] * len(sizes)
+    while True:
+        left = total - sum(cap * sizes[i] for i in fixed)
+        free = [i for i in range(len(sizes)) if i not in fixed]
+        weight = sum(weights[i] for i in free)
+        target = [cap * sizes[i] if i in fixed else left * weights[i] / weight for i in range(len(sizes))]
+        over = [i for i in free if target[i] > cap * sizes[i] + 1e-9]
+        if not over:
+            return target
+        fixed |= set(over)
+
+
+def test_mix(docs, rows, empty):
+    got = mixing.mix_report(docs).collect()
+    assert len(got) == len(rows)
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(words(r[1]))
+    names = sorted((s for s in size if s is not None)) + [None]
+    want = dict(zip(names, fill([size[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))]), strict=True))
+    source = {r[0]: r[3] for r in rows if r[0] is not None}
+    taken = Counter()
+    for r in got:
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        assert 0 <= r["position"] <= 1
+        if r["doc_id"] is not None:
+            assert r["target"] == pytest.approx(want[source[r["doc_id"]]]) and r["source_size"] == size[source[r["doc_id"]]]
+            taken[source[r["doc_id"]]] += r["taken"]
+    for s in ("a", "c", "ä"):
+        assert abs(taken[s] - want[s]) <= 401
+    again = mixing.mix_report(docs.repartition(5)).collect()
+    key = lambda r: (str(r["doc_id"]), r["taken"], r["position"])
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    places = [r["position"] for r in got]
+    assert places == sorted(places)
+    assert mixing.mix_report(empty).collect() == []
+    kept = mixing.mix(docs)
+    assert set(DDL.replace(" string", "").replace(" long", "").split(", ")) - {"__key"} <= set(kept.columns)
+
+
+# ---- 6
+
+
+def test_simhash_and_blocks(spark):
+    rnd = random.Random(8)
+    bags = [[rnd.getrandbits(64) - (1 << 63) for _ in range(rnd.randint(1, 9))] for _ in range(50)]
+    df = spark.createDataFrame([(b,) for b in bags], "b array<long>")
+    for bag, r in zip(bags, df.coalesce(1).select(decontam.simhash(F.col("b")), F.size(decontam.blocks(F.col("b")[0]))).collect(), strict=True):
+        want = sum(1 << k for k in range(64) if 2 * sum((h >> k) & 1 for h in bag) > len(bag))
+        assert r[0] & ((1 << 64) - 1) == want and r[1] == decontam.RADIUS + 1
+
+
+def test_decontamination(spark, empty):
+    rnd = random.Random(9)
+    w = lambda n: [f"w{rnd.randrange(4000)}" for _ in range(n)]
+    items = [w(n) for n in (12, 30, 30, 45)] + [["a", "b"], ["x"] * 20]
+    docs = []
+    for i in range(120):
+        body = w(80)
+        if i % 3 == 0:
+            part = list(items[i % 4])
+            for _ in range(i % 5 if len(part) > 20 else 0):
+                part[rnd.choice([0, 1, -1, -2, len(part) // 2])] = "edit"
+            if i % 2:
+                part = part[: -(i % 7) or None]
+            body[40:40] = part
+        docs.append((i, " ".join(body).upper() if i % 9 == 0 else ", ".join(body)))
+    docs += [(200, None), (201, ""), (202, "a b"), (203, " ".join(items[1])), (204, " ".join(items[1][3:])), (205, "x " * 20), (None, " ".join(items[2])), (203, " ".join(items[1]))]
+    df = spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in docs], DDL)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(50, None), (51, "")], "item_id long, text string")
+
+    def norm(t):
+        return re.sub(r"[^\w]+", " ", (t or "").lower()).split()
+
+    def bag(x):
+        return Counter(tuple(x[k : k + 5]) for k in range(len(x) - 4))
+
+    want = set()
+    for i, t in docs:
+        x = norm(t)
+        for j, item in enumerate(items):
+            if len(item) < 5 or len(x) < 5:
+                continue
+            b = bag(item)
+            n = len(item)
+            for s in range(-n + 5, len(x) - 4):
+                c = bag(x[max(0, s) : s + n])
+                both = sum((b & c).values())
+                if both and 100 * both >= 80 * sum((b | c).values()):
+                    want.add((i, j))
+    found = decontam.match_report(df, bench)
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert got == want and len(want) > 20
+    clean = decontam.clean(df, bench)
+    assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in docs} - {i for i, _ in want} and clean.columns == df.columns
+    assert decontam.match_report(empty, bench).collect() == [] and decontam.match_report(df, bench.limit(0)).collect() == []
+
+
+# ---- 7
+
+
+def jump(key, n):
+    b, j = -1, 0
+    while j < n:
+        b = j
+        key = (key * 2862933555777941757 + 1) % (1 << 64)
+        j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash():
+    keys = np.random.default_rng(2).integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for n in (1, 2, 24, 25, 1000):
+        assert sharding.jump_hash(keys, n).tolist() == [jump(int(k), n) for k in keys]
+
+
+def test_shards(docs, rows, empty):
+    got = sharding.shard_report(docs).collect()
+    assert len(got) == len(rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        assert r["grown_shard"] in (r["shard"], 24) and 0 <= r["shard"] < 24
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    by = {r[0]: r[1] for r in rows if r[0] is not None}
+    for r in got:
+        if r["doc_id"] is not None:
+            raw = (by[r["doc_id"]] or "").encode()
+            assert (r["size"], r["text_crc32"]) == (len(raw) + 8, zlib.crc32(raw))
+    assert sharding.shard_report(empty).collect() == []
+    assert "size" in sharding.assign_shards(docs, "doc_id", 3, []).columns
+
+
+# ---- 8
+
+
+def test_store(spark, docs, rows, empty):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = str(public_tokenizers.path(idstore.VOCABULARY))
+    t = Tokenizer.from_file(path)
+    got = idstore.store_report(docs).collect()
+    assert len(got) == len(rows)
+    ordered = sorted((r for r in got), key=lambda r: r["start"])
+    numbers = [r["doc_id"] for r in ordered if r["doc_id"] is not None]
+    assert numbers == sorted(numbers)
+    by = defaultdict(list)
+    for r in rows:
+        ids = np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")
+        by[r[0]].append((len(ids), zlib.crc32(ids.tobytes())))
+    at = 0
+    for r in ordered:
+        assert r["start"] == at and (r["n_tokens"], r["ids_crc32"]) in by[r["doc_id"]]
+        at += r["n_tokens"]
+    assert idstore.store_report(empty).collect() == []
+
+
+def test_encoder_equals_the_library():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    path = str(public_tokenizers.path(idstore.VOCABULARY))
+    t, rnd = Tokenizer.from_file(path), random.Random(6)
+    parts = [" ", "  ", "\n", "a", "b1", "'s", "\t", "é", " ", "!", "<|endoftext|>", "　", "\x85", "\x1f", "'", "ll", "Ⅷ", "²", "日"]
+    for memo in (5, 10_000):
+        encode = idstore.Encoder(path, memo)
+        for _ in range(3000):
+            s = "".join(rnd.choices(parts, k=rnd.randint(1, 9)))
+            assert encode([s])[0] == np.array(t.encode(s, add_special_tokens=False).ids, "<u2").tobytes(), repr(s)
+
+
+def test_cuts_follow_content():
+    rnd = np.random.default_rng(3)
+    a, b = rnd.integers(0, 50_000, 40_000).astype(np.uint32), rnd.integers(0, 50_000, 777).astype(np.uint32)
+    chunk = lambda x: {x[i:j].tobytes() for i, j in itertools.pairwise([0, *idstore.cuts(x)])}
+    assert len(chunk(a) & chunk(np.concatenate([b, a]))) >= len(chunk(a)) - 2
+    for x in (a, b, a[:1], np.zeros(50_000, np.uint32)):
+        ends = idstore.cuts(x)
+        assert ends[-1] == len(x) and all(0 < j - i <= idstore.MAX_IDS for i, j in itertools.pairwise([0, *ends]))
+
+
+def test_damage_is_found(spark, docs):
+    import public_tokenizers
+
+    from cartmill.llm.text import shared_dir
+
+    folder = f"{shared_dir(spark)}/damage"
+    idstore.write_store(docs, folder, "damage", str(public_tokenizers.path(idstore.VOCABULARY)))
+    assert idstore.store_root(spark, folder)
+    assert idstore.read_store(spark, folder, "damage").count() > 0
+    spark.table("damage").limit(3).write.mode("overwrite").saveAsTable("damage_some")
+    with pytest.raises(Exception, match="missing"):
+        idstore.read_store(spark, folder, "damage_some").collect()
+
+
+# ---- 9
+
+
+def shingle_set(t):
+    w = words(t)
+    return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)]) if w else frozenset()
+
+
+def links(rows):
+    sets = [(r[0], shingle_set(r[1])) for r in rows]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        a, b = sets[i][1], sets[j][1]
+        if a and b and 100 * len(a & b) >= 80 * len(a | b):
+            root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return sorted(((str(d), len(s), str(least.get(find(i)))) for i, (d, s) in enumerate(sets)))
+
+
+def near(seed, n=60):
+    rnd = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(300)]
+    out, passage = [], rnd.choices(vocabulary, k=70)
+    for _ in range(n // 6):
+        b = rnd.choices(vocabulary, k=rnd.randint(20, 120))
+        if rnd.random() < 0.5:
+            b[5:5] = passage
+        for _ in range(6):
+            v = list(b)
+            for _ in range(rnd.randint(0, 3)):
+                at = rnd.randrange(len(v))
+                v[at : at + rnd.randint(0, 1)] = rnd.choices(vocabulary, k=rnd.randint(0, 2))
+            out.append(" ".join(v))
+    return [(i, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_join_finds_all_links(spark, seed, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SAMPLE", (16, 2, 1)[seed])
+    rows = near(seed, 120)
+    df = spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in rows], DDL).repartition(4)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.join_report(df).collect())
+    assert got == links(rows)
+    assert len({c for _, _, c in got}) < len(got)
+
+
+def test_join_of_odd_documents(docs, rows, empty):
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.join_report(docs).collect())
+    assert got == links(rows)
+    assert ngram_join.join_report(empty).collect() == []
+
+
+def test_prefixes_share_enough():
+    rnd = np.random.default_rng(5)
+    for _ in range(300):
+        common = rnd.choice(500, rnd.integers(5, 60), replace=False).astype(np.uint64)
+        extra = rnd.integers(500, 1000, 12).astype(np.uint64)
+        a, b = np.unique(np.concatenate([common, extra[: rnd.integers(0, 6)]])), np.unique(np.concatenate([common, extra[6 : 6 + rnd.integers(0, 6)]]))
+        both, every = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+        f = lambda x: (x % np.uint64(7)).astype(np.int64) * 16
+        (pa_, ea), (pb, eb) = ngram_join.prefix(a, f(a)), ngram_join.prefix(b, f(b))
+        if 100 * both >= 80 * every:
+            assert len(np.intersect1d(pa_, pb)) >= min(ea, eb)
+
+
+# ---- 10
+
+
+def measured(t):
+    t = t or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    where = defaultdict(list)
+    for k in range(len(w) - 4):
+        where[tuple(w[k : k + 5])].append(k)
+    covered = {k + i for ks in where.values() if len(ks) > 1 for k in ks for i in range(5)}
+    return len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered)
+
+
+def test_ledger(docs, rows, empty):
+    got = rule_ledger.rules_report(docs).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert sorted((str(r["doc_id"]), *[r[n] for n in names]) for r in got) == sorted((str(r[0]), *measured(r[1])) for r in rows)
+    for r in got:
+        failed = r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+    assert rule_ledger.rules_report(empty).collect() == []
+
+
+def test_repeats_in_random_texts(spark):
+    rnd = random.Random(7)
+    rows = [(i, " ".join(rnd.choices("ab", k=rnd.randint(0, 40))), None, None, None, None, None, None) for i in range(200)]
+    got = {r["doc_id"]: r["n_repeat_words"] for r in rule_ledger.measure(spark.createDataFrame(rows, DDL)).collect()}
+    assert got == {r[0]: measured(r[1])[4] for r in rows}
+
+
+def test_ablations(docs):
+    entries = rule_ledger.ledger(docs)
+    bits = [r["failed_bits"] for r in entries.collect()]
+    for r in rule_ledger.ablations(entries).collect():
+        policy = next(p for p in rule_ledger.POLICIES if p.version == r["version"])
+        mask = rule_ledger.Policy("x", tuple(n for n in policy.rule_names if n != r["left_out"])).mask()
+        assert (r["n_docs"], r["n_kept"]) == (len(bits), sum(not b & mask for b in bits))
