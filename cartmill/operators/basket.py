@@ -13,6 +13,11 @@ from cartmill.operators.shipping import item_grams, quote
 from cartmill.vocabulary import EXACT_SHOPS
 
 
+def quantities(items: DataFrame) -> DataFrame:
+    """product_id, quantity: items of the same product as one."""
+    return items.groupBy("product_id").agg(F.sum("quantity").alias("quantity"))
+
+
 def candidates(offers: DataFrame, wanted: DataFrame, shops: DataFrame, country: str | None = None) -> DataFrame:
     """The cheapest offer in stock of each wanted product (product_id, quantity) in each shop that is active and delivers."""
     open_shops = shops.filter("active")

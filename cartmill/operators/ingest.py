@@ -60,3 +60,16 @@ def changes(seen: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     old = seen.withColumns({"__price": F.lag("price").over(w), "__stock": F.lag("in_stock").over(w)})
     return old.filter(changed(F.col("price"), F.col("in_stock"), F.col("__price"), F.col("__stock"))).drop("__price", "__stock")
+
+
+def status(shop: Column, counts: Column) -> Column:
+    """A shop's status line of up to 255 characters, from a struct of counters."""
+    line = F.format_string("ok: %d fetched, %d new, %d price changes, %d delisted", counts["fetched"], counts["created"], counts["price_changes"], counts["delisted"])
+    return F.substring(F.coalesce(line, F.concat(F.lit("failed: "), shop)), 1, 255)
+
+
+def counters_by_shop(upserted: DataFrame) -> DataFrame:
+    """shop_id, counters and status of each shop; one shop's rows never touch another's."""
+    is_ = lambda *names: F.count_if(F.col("status").isin(*names))
+    counted = upserted.groupBy("shop_id").agg(is_("created", "updated", "same").alias("fetched"), is_("created").alias("created"), is_("updated").alias("price_changes"), is_("delisted").alias("delisted"))
+    return counted.withColumn("status", status(F.col("shop_id").cast("string"), F.struct("fetched", "created", "price_changes", "delisted")))

@@ -257,3 +257,9 @@ def products_of(matched: DataFrame, prepared: DataFrame) -> DataFrame:
 
 def orphans(products: DataFrame, offers: DataFrame) -> DataFrame:
     return products.join(offers, "product_id", "left_anti")
+
+
+def reset(offers: DataFrame) -> DataFrame:
+    """Offers without product and score, unless locked: the next matching starts from nothing."""
+    locked = F.coalesce("match_locked", F.lit(False))
+    return offers.withColumns({"product_id": F.when(locked, F.col("product_id")), "match_score": F.when(locked, F.col("match_score"))})

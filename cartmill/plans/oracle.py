@@ -118,4 +118,8 @@ SQL = {
     "q_json_field": "SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS max_k, count(*) AS n FROM events GROUP BY event_type",
     "q_variant_explode": "SELECT p_partkey || '-' || v AS external_id, CASE WHEN v = 1 THEN p_name ELSE p_name || ' Large' END AS title, 'https://shop.example/products/p' || p_partkey AS url, CAST(p_size * v AS DOUBLE) AS price, 'PLN' AS currency, true AS in_stock, CASE WHEN v = 2 THEN nullif(p_size * 100, 0) END AS weight_grams, p_brand AS brand FROM part, (SELECT unnest([1, 2]) AS v)",
     "q_store_products": "SELECT CAST(p_partkey AS VARCHAR) AS external_id, p_name || ' & more' AS title, round(p_size * 125 / 100.0::DOUBLE, 2) AS price, 'EUR' AS currency, nullif(p_size * 1000, 0) AS weight_grams FROM part",
+    "q_basket_quantities": "SELECT l_partkey AS product_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY l_partkey",
+    "q_shop_status": f"{UPSERT}, c AS (SELECT shop_id, count(*) FILTER (status IN ('created', 'updated', 'same')) AS fetched, count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'updated') AS price_changes, count(*) FILTER (status = 'delisted') AS delisted FROM merged GROUP BY shop_id) SELECT *, 'ok: ' || fetched || ' fetched, ' || created || ' new, ' || price_changes || ' price changes, ' || delisted || ' delisted' AS status FROM c",
+    "q_reset_matches": f"WITH {OFFERS} SELECT shop_id % 5 = 0 AS match_locked, count(*) FILTER (shop_id % 5 = 0) AS matched, count(*) FILTER (shop_id % 5 = 0) AS scored, count(*) AS n FROM offers GROUP BY 1",
+    "q_verify_readers": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_size * 2 ELSE p_size END AS DOUBLE) AS variant, CASE WHEN p_partkey % 2 = 0 THEN 'variant' ELSE 'first variant' END AS how, CAST(p_size AS DOUBLE) AS store, p_size + 0.5::DOUBLE AS page FROM part",
 }

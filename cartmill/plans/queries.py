@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -130,7 +129,7 @@ def _basket(spark, sf):
     four = some.filter("n >= 2").orderBy("product_id").limit(4).select("product_id")
     none = views.products(spark, sf).join(some, "product_id", "left_anti").orderBy("product_id").limit(1).select("product_id")
     wanted = four.unionByName(none).withColumn("quantity", 1 + F.col("product_id") % 3)
-    return wanted, basket.candidates(offers, wanted, shops)
+    return wanted, views.kept(basket.candidates(offers, wanted, shops), "basket")
 
 
 def q_basket_optimal(spark, sf):
@@ -234,8 +233,8 @@ def q_idf(spark, sf):
 
 
 def _keyed(spark, sf):
-    titles = views.titles(spark, sf)
-    return resolve.prepare(titles, resolve.document_frequency(titles))
+    titles = views.kept(views.titles(spark, sf), "titles")
+    return views.kept(resolve.prepare(titles, resolve.document_frequency(titles)), "prepared")
 
 
 def q_block_keys(spark, sf):
@@ -264,10 +263,8 @@ def q_score(spark, sf):
 
 
 def _matched(spark, sf):
-    titles = views.titles(spark, sf)
-    prepared = resolve.prepare(titles, resolve.document_frequency(titles))
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/cartmill-checkpoints"
-    return prepared, resolve.match(prepared, set(views.TITLE_VOCABULARY.canonical), titles.count(), f"{root.rstrip('/')}/match-{uuid.uuid4().hex}")
+    prepared = _keyed(spark, sf)
+    return prepared, resolve.match(prepared, set(views.TITLE_VOCABULARY.canonical), prepared.count(), views.folder(spark, "match"))
 
 
 def q_match(spark, sf):
@@ -276,7 +273,7 @@ def q_match(spark, sf):
 
 def q_products(spark, sf):
     prepared, matched = _matched(spark, sf)
-    return resolve.products_of(matched, prepared)
+    return resolve.products_of(views.kept(matched, "matched"), prepared)
 
 
 def _categorised(spark, sf):
@@ -369,6 +366,29 @@ def q_store_products(spark, sf):
     return catalogues.store_products(read, "PLN", "kg").select("external_id", "title", "price", "currency", "weight_grams")
 
 
+def q_basket_quantities(spark, sf):
+    lines = views.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("long").alias("quantity"))
+    return basket.quantities(lines)
+
+
+def q_shop_status(spark, sf):
+    return ingest.counters_by_shop(ingest.upsert(*_fetches(spark, sf)))
+
+
+def q_reset_matches(spark, sf):
+    rows = views.offers(spark, sf).withColumns({"match_locked": F.col("shop_id") % 5 == 0, "match_score": F.lit(1.0)})
+    return resolve.reset(rows).groupBy("match_locked").agg(F.count("product_id").alias("matched"), F.count("match_score").alias("scored"), F.count("*").alias("n"))
+
+
+def q_verify_readers(spark, sf):
+    part = views.table(spark, sf, "part")
+    product = F.to_json(F.struct(F.array(F.struct(F.lit("1").alias("id"), F.col("p_size").cast("string").alias("price")), F.struct(F.lit("2").alias("id"), (F.col("p_size") * 2).cast("string").alias("price"))).alias("variants")))
+    store = F.to_json(F.struct(F.struct((F.col("p_size") * 100).cast("string").alias("price"), F.lit(2).alias("currency_minor_unit")).alias("prices")))
+    page = F.concat(F.lit('<b class="price">'), F.col("p_size").cast("string"), F.lit(",50</b>"))
+    wanted = F.when(F.col("p_partkey") % 2 == 0, "2").otherwise("9")
+    return part.select("p_partkey", audit.variant_price(product, wanted).alias("v"), audit.store_price(store).alias("s"), audit.page_price(page).alias("h")).select("p_partkey", F.col("v.price").alias("variant"), F.col("v.how").alias("how"), F.col("s.price").alias("store"), F.col("h.price").alias("page"))
+
+
 SORTS = {f"q_search_{s}": _search(s) for s in ("price", "unit", "name", "offers")}
 
 

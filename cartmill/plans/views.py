@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the place that driver and executors share; a local one only where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/cartmill-checkpoints"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once and read again: for what several branches of a plan need and is dear to make."""
+    place = folder(df.sparkSession, name)
+    df.write.parquet(place)
+    return df.sparkSession.read.parquet(place)
+
+
 def shops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """shop_id, slug, name, country"""
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
