@@ -27,13 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartmill.llm.components import components
-from cartmill.llm.hasharrays import ROWS, by_bucket, deal, find, mapped, pack, rows, smallest, split, store, summed, unpack
+from cartmill.llm.hasharrays import ROWS, by_bucket, deal, find, mapped, pack, rows, smallest, split, store, unpack
 from cartmill.llm.text import shared_dir
 from cartmill.llm.wordhash import chunks, mix64, shingles
+from cartmill.operators.graph import components
 
 #: The sample that estimates frequencies: one class in SAMPLE; shingles seen SEEN times in it count as frequent.
 SAMPLE, SEEN = 16, 2
@@ -84,7 +84,7 @@ def _sampled(n: int):
                 seen.add(sig)
                 held.append(own)
                 size += len(own)
-                if size >= 2_000_000:
+                if size >= 1_000_000:
                     yield rows(_buckets(held, [], n))
                     held, size = [], 0
         if size:
@@ -170,7 +170,7 @@ def _postings(folder: str, n_frequent: int, n: int):
             if size >= 200_000:
                 prefixes()
                 group, size = [], 0
-            if posted >= 2_000_000:
+            if posted >= 1_000_000:
                 yield flush()
                 held, facts, posted = [], [], 0
             if len(seen) > 500_000:
@@ -224,7 +224,7 @@ def _whole_sets(folder: str, wanted: int, n: int):
                 if lists.has(sig):
                     held[sig] = own
                     size += len(own)
-                    if size >= 2_000_000:
+                    if size >= 1_000_000:
                         yield flush()
                         held, size = {}, 0
             if len(seen) > 500_000:
@@ -341,21 +341,18 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     n = max(8, math.ceil(total / SHINGLES_PER_BUCKET))
     deal(texts.mapInArrow(_sampled(n), ROWS), n).mapInArrow(_frequent(folder), ROWS).count()
     shared = kept(deal(texts.mapInArrow(_postings(folder, n, n), ROWS), n).mapInArrow(_shared, "shingle long, sig long, n long, ell long"), "shared")
-    n_sets = max(4, math.ceil(n / 2))
+    n_sets = 2 * n
     _keep_sets(spark, texts, shared, folder, n_sets)
 
     # each list's sets against its least and its greatest one
-    ends = shared.groupBy("shingle").agg(F.min_by(F.struct("sig", "n", "ell"), "sig").alias("lo"), F.max_by(F.struct("sig", "n", "ell"), "sig").alias("hi"))
-    against = shared.join(ends, "shingle").select("sig", "n", "ell", F.explode(F.array("lo", "hi")).alias("end"))
-    pairs = against.filter((F.col("sig") != F.col("end.sig")) & may_link(F.col("n"), F.col("end.n")))
-    pairs = pairs.select(F.least("sig", "end.sig").alias("a"), F.greatest("sig", "end.sig").alias("b")).distinct()
-    links = kept(_linked(pairs, folder, n_sets), "links")
-    groups = components(links, f"{folder}/first")
+    links = kept(_linked(_against(shared, F.col("sig")), folder, n_sets), "links")
+    # then, in lists whose sets are still apart, against two others, which differ from list to list
+    mixed = _mixed(shared, components(links, f"{folder}/first"))
+    again = _against(mixed, F.xxhash64("sig", "shingle"), across=True)
+    links = kept(links.unionByName(_linked(again, folder, n_sets)), "links-again")
 
     # what still is apart
-    grouped = shared.join(groups.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    mixed = grouped.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
-    apart = kept(grouped.join(mixed, "shingle", "left_semi"), "apart")
+    apart = kept(_mixed(shared, components(links, f"{folder}/again")), "apart")
     one, two = apart.alias("one"), apart.alias("two")
     meets = (F.col("one.shingle") == F.col("two.shingle")) & (F.col("one.sig") < F.col("two.sig")) & (F.col("one.root") != F.col("two.root")) & may_link(F.col("one.n"), F.col("two.n"))
     met = one.join(two, meets).groupBy(F.col("one.sig").alias("a"), F.col("two.sig").alias("b")).agg(F.count("*").alias("both"), F.min(F.least("one.ell", "two.ell")).alias("ell"))
@@ -368,6 +365,24 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     return all_sets.join(names, "sig", "left").select("doc_id", "n_shingles", "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _against(lists: DataFrame, order: Column, across: bool = False) -> DataFrame:
+    """Distinct pairs a < b of each list's sets with those of least and greatest order there; only of different roots if asked."""
+    facts = F.struct(*lists.columns[1:])
+    ends = lists.groupBy("shingle").agg(F.min_by(facts, order).alias("lo"), F.max_by(facts, order).alias("hi"))
+    pairs = lists.join(ends, "shingle").select(*lists.columns[1:], F.explode(F.array("lo", "hi")).alias("end"))
+    pairs = pairs.filter((F.col("sig") != F.col("end.sig")) & may_link(F.col("n"), F.col("end.n")))
+    if across:
+        pairs = pairs.filter(F.col("root") != F.col("end.root"))
+    return pairs.select(F.least("sig", "end.sig").alias("a"), F.greatest("sig", "end.sig").alias("b")).distinct()
+
+
+def _mixed(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """shingle, sig, n, ell, root of the lists whose sets aren't all of one root."""
+    grouped = shared.join(groups.withColumnRenamed("node", "sig"), "sig", "left").select("shingle", "sig", "n", "ell", F.coalesce("root", "sig").alias("root"))
+    apart = grouped.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("shingle")
+    return grouped.join(apart, "shingle", "left_semi")
+
+
 def _keep_sets(spark: SparkSession, texts: DataFrame, shared: DataFrame, folder: str, n: int) -> None:
     """Stores the whole sets of all classes that have a shared posting."""
 
