@@ -22,11 +22,13 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,36 +40,87 @@ END_ID = 0
 #: A chunk ends after an id where the rolling hash of the last WINDOW ids has CUT_BITS zero bits, and at MAX_IDS.
 WINDOW, CUT_BITS, MIN_IDS, MAX_IDS = 16, 11, 256, 16_384
 ROLL = 0xD1342543DE82EF95
-MEMO_PIECES = 500_000
+MEMO_PIECES = 650_000
 IDS_PER_BUCKET = 16_000_000
 
+#: Characters that are neither letters, digits nor white space; an apostrophe or bracket opens other pre-tokens.
+MARKS = ".,!?;:#*$%&"
+#: White space of Unicode but space and line feed.
+OTHER_SPACE = re.compile(r"[^\S \n]")
+
+
+class Memo(dict):
+    """Remembers what `make` gives: up to `most` runs of letters, which are dear to make, and an eighth of that of other keys."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.left, self.left_other = make, most, most // 8
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.make(key)
+        if key.isalpha():
+            if self.left > 0:
+                self.left -= 1
+                self[key] = made
+        elif self.left_other > 0:
+            self.left_other -= 1
+            self[key] = made
+        return made
+
 
 class Encoder:
     """Ids of whole texts, by the tokenizers library.
 
     A byte-level vocabulary never joins across a single space between two characters that are not white space:
-    the space opens the next piece. So a text is cut there, and each distinct piece is encoded once and
-    remembered. The memo holds encodings only; once it is full, further pieces are encoded each time.
+    the space opens the next piece. So a text is cut there, and each distinct piece is put together from its
+    pre-tokens, which the library encodes. Both are remembered; once a memo is full, further ones are encoded
+    each time, which changes no result.
     """
 
+    #: Fixed: the pre-tokens of this kind of vocabulary.
+    PRE_TOKENS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+
     def __init__(self, path: str, memo: int = MEMO_PIECES):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo, self.known = Tokenizer.from_file(path), memo, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pre = Memo(self._library, memo // 4)  # pre-tokens as they are
+        self.whole = Memo(self._piece, memo // 4)  # pieces as they are
+        self.spaced = Memo(self._spaced, memo)  # pieces without the space that opens them
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned integers of `width` bytes, without an end id."""
-        cut = [self.pieces(t or "") for t in texts]
-        known, kind = self.known, f"<u{self.width}"
-        new = list(dict.fromkeys(x for pieces in cut for x in pieces if x not in known))
-        if len(known) + len(new) > self.memo:
-            known = {x: known[x] for pieces in cut for x in pieces if x in known}
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for piece, code in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[piece] = np.array(code.ids, kind).tobytes()
-        return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+        return [self._text(t) if t else b"" for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        # a plain text's pieces but the first are opened by a space each; other texts are cut with care
+        if self._loose(text):
+            return b"".join(map(self.whole.__getitem__, self.pieces(text)))
+        first, *rest = text.split(" ")
+        return self.whole[first] + b"".join(map(self.spaced.__getitem__, rest))
+
+    def _spaced(self, rest: str) -> bytes:
+        if rest.isalpha():  # with its space one pre-token
+            return self._library(f" {rest}")
+        letters = rest.rstrip(MARKS)
+        if letters.isalpha():  # and the marks after it another
+            return self.spaced[letters] + self.pre[rest[len(letters) :]]
+        return self._piece(f" {rest}")
+
+    def _piece(self, piece: str) -> bytes:
+        if any(s in piece for s in self.special):
+            return self._library(piece)
+        return b"".join([self.spaced[x[1:]] if x[0] == " " and x[1:].isalpha() else self.pre[x] for x in self.PRE_TOKENS.findall(piece)])
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+
+    @staticmethod
+    def _loose(text: str) -> bool:
+        """Whether white space may touch other white space or an end of the text, or is neither space nor line feed."""
+        return "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] == " " or text[-1] == " " or OTHER_SPACE.search(text) is not None
 
     @staticmethod
     def pieces(text: str) -> list[str]:
