@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writ
 folder and reads again for the next. All but the last return the columns of documents.
 
 - language: documents without a language (no letter), or whose language the model doubts, go
-- near_duplicates: of each group of documents linked by shingle similarity, the one with the least doc_id stays; of equal rows, one
+- near_duplicates: of each group of documents linked by shingle similarity, one row stays, that with the least doc_id (null last); of equal rows, one
 - decontaminate: documents with a passage of a benchmark item go
 - mix: each source's documents are taken as often as its target asks (not at all, or up to three times), in training order
 - shards: each row gets its shard and its slot there
@@ -17,7 +17,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartmill.llm import decontam, langid, mixing, ngram_join, sharding
@@ -34,18 +34,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(given, model).filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= SURE)).select(*COLUMNS)
 
 
+def row_key() -> Column:
+    """A hash of all columns: equal rows have the same. Hashes skip nulls, so where they are counts too."""
+    return F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document with an empty set is linked with none and stays, as do all rows whose doc_id is null and that nothing links."""
-    given = docs.select(*COLUMNS)
-    found = ngram_join.join(given).select(F.col("doc_id").alias("__doc"), F.col("component_id").alias("__first"))
-    goes = found.filter((F.col("__doc") != F.col("__first")) | (F.col("__doc").isNull() & F.col("__first").isNotNull())).select("__doc").distinct()
-    kept = given.join(goes, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
-    # equal rows have one doc_id; only rows whose doc_id repeats are compared, and those are few beside the texts
-    twice = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice"))
-    if twice.limit(1).count() == 0:
-        return kept
-    again = kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, F.col("doc_id") == F.col("__twice"), "left_anti").unionByName(again)
+    """Decides row by row, whatever the doc_ids are. A row with an empty set is linked with none and stays."""
+    given = docs.select(*COLUMNS).withColumn("__row", row_key())
+    # joined by row keys, a component is named by its least key
+    found = ngram_join.join(given, "__row").select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    ids = given.select("__row", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__row"))
+    stays = ids.join(found, "__row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.__row").alias("__row"))
+    return given.dropDuplicates(["__row"]).join(stays, "__row").select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,26 @@ def test_run_and_empty(spark, folder, tmp_path):
     spark.createDataFrame([], DDL).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, "a b c d e f")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_decides_by_row(spark, tmp_path):
+    rnd = random.Random(3)
+    text = lambda: " ".join(f"w{rnd.randrange(5000)}" for _ in range(40))
+    a, b, c, d, e, f, g, h = (text() for _ in range(8))
+    rows = [
+        (1, a, "en", "s", 1), (None, a, "en", "s", 1), (None, b, "en", "s", 1),  # a null id linked to an id; a clean null id
+        (3, c, "en", "s", 1), (5, c, "en", "s", 1), (5, d, "en", "s", 1),  # id 5 is a copy once and clean once
+        (None, e, "en", "s", 1), (None, e + " more", "en", "s", 1), (None, e, "fr", "s", 1),  # a group without any id
+        (7, f, "en", "s", 1), (7, f + " more", "en", "s", 1), (8, f, "en", "s", 1),  # near copies that share the least id
+        (9, g, "en", "s", 1), (9, g, "en", "s", 1), (9, h, None, "s", 1), (10, h, "en", "s", 1),  # equal rows; nulls elsewhere
+        (None, "", "en", "s", 1), (None, "", "fr", "s", 1), (11, None, None, "s", 1), (11, None, "s", None, 1), (11, " ", "en", "s", 1),  # empty sets
+    ]
+    docs = spark.createDataFrame(rows, DDL).repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+    group = lambda r: r[1].removesuffix(" more") if (r[1] or "").strip() else r
+    assert len(got) == len(set(got)) and set(got) <= set(rows)
+    assert sorted(map(str, map(group, got))) == sorted(map(str, set(map(group, rows))))
+    ids = {group(r): r[0] for r in got}
+    assert [ids[x] for x in (a, b, c, d, e, f, g, h)] == [1, None, 3, 5, None, 7, 9, 9]
+    again = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(5), str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, again))
