@@ -2,7 +2,8 @@
 
 Each source has a target of words and a weight schedule over training time 0 to 1. The schedule's integral is
 the source's cumulative demand; a document that stands at a share u of its source's demand is trained where
-the integral reaches u, so inverting the integral gives its position. Documents are range-sorted by position.
+the integral reaches u, so inverting the integral gives its position. Copy k of a document stands k times the
+source's size further on, so each copy has a position of its own. Documents are range-sorted by position.
 
 Targets: sources in code point order, null last, weigh 5, 2, 1, repeating; they share all words; a target is
 at most `max_repeats` times its source's size, and the excess is shared again by weight. That process ends at
@@ -58,8 +59,11 @@ def position(u: Column, slope: Column) -> Column:
 
 
 def mix(docs: DataFrame, seed: int = 7, rows: int | None = None) -> DataFrame:
-    """Adds size, source_size, target, taken, copies and position; `position` is that of the document's first copy."""
-    named = docs.drop("size", "source_size", "target", "taken", "copies", "position", "__key", "__ahead")
+    """Adds size, source_size, target, taken, copies, position and positions.
+
+    `positions` has one of each copy taken, in order; `position` is that of the first, also where none is taken.
+    """
+    named = docs.drop("size", "source_size", "target", "taken", "copies", "position", "positions", "__key", "__ahead")
     sized = named.withColumns({"size": n_words(F.col("text")), "__key": F.xxhash64(F.lit(seed), "doc_id"), "__tie": F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))})
     return plan_mix(sized, docs.count() if rows is None else rows).drop("__key", "__tie", "__ahead")
 
@@ -75,12 +79,14 @@ def plan_mix(sized: DataFrame, rows: int) -> DataFrame:
     extra = (F.col("size") > 0) & (F.col("__ahead") + F.col("size") / 2 <= rest)
     copies = F.when(F.col("size") > 0, epochs + extra.cast("int")).otherwise(F.lit(0)).cast("int")
     slope = F.element_at(F.array(*map(F.lit, SLOPES)), (F.col("rank") % len(SLOPES) + 1).cast("int"))
-    u = F.when(F.col("target") > 0, F.least(F.col("__ahead") / F.col("target"), F.lit(1.0))).otherwise(F.lit(1.0))
-    return joined.withColumns({"copies": copies, "taken": copies * F.col("size"), "position": position(u, slope)}).drop("rank")
+    share = lambda k: F.when(F.col("target") > 0, F.least((F.col("__ahead") + k * F.col("source_size")) / F.col("target"), F.lit(1.0))).otherwise(F.lit(1.0))
+    each = F.transform(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))), lambda k: position(share(k - 1), slope))
+    dealt = joined.withColumns({"copies": copies, "taken": copies * F.col("size")}).withColumn("__each", each)
+    return dealt.withColumns({"position": F.get("__each", F.lit(0)), "positions": F.slice("__each", 1, F.col("copies"))}).drop("rank", "__each")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies and position of every document, range-sorted by position."""
+    """doc_id, size, source_size, target, taken, copies, position and positions of every document, range-sorted by position."""
     sized = docs.select(
         "doc_id",
         "source",
@@ -89,4 +95,4 @@ def mix_report(docs: DataFrame) -> DataFrame:
         F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("__tie"),
     )
     mixed = plan_mix(sized, docs.count())
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "position", "positions").repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

@@ -55,17 +55,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it, range-sorted by training position: copy k of n comes k/n of the way on from the first."""
-    given = docs.select(*COLUMNS).withColumn("__row", F.xxhash64(*COLUMNS))
+    """Each document as many times as the mix takes it, range-sorted by training position; each copy stands at its own."""
+    given = docs.select(*COLUMNS).withColumn("__row", row_key())
     # the plan is made without texts; they are dealt once to join it, and once into order
-    plan = mixing.mix(given.select("__row", "doc_id", "text", "source"), docs.count()).filter("copies > 0").select("__row", "copies", "position")
-    plan = plan.groupBy("__row").agg(F.sum("copies").alias("copies"), F.min("position").alias("position"), F.count("*").alias("equal"))
-    joined = given.join(plan, "__row")
+    plan = mixing.mix(given.select("__row", "doc_id", "text", "source"), rows=docs.count()).select("__row", F.explode("positions").alias("__at"))
     # of equal rows, which nothing tells apart, one stands for all that they take
-    once = joined.filter("equal = 1").unionByName(joined.filter("equal > 1").dropDuplicates(["__row"]))
-    copies = once.withColumn("__k", F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))))
-    at = F.col("position") + (1 - F.col("position")) * F.col("__k") / F.col("copies")
-    return copies.withColumn("__at", at).repartitionByRange("__at", "doc_id").sortWithinPartitions("__at", "doc_id").select(*COLUMNS)
+    copies = given.dropDuplicates(["__row"]).join(plan, "__row")
+    return copies.repartitionByRange("__at", "doc_id").sortWithinPartitions("__at", "doc_id").select(*COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

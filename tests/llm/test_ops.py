@@ -314,6 +314,27 @@ def test_mix(docs, rows, empty):
     assert set(DDL.replace(" string", "").replace(" long", "").split(", ")) - {"__key"} <= set(kept.columns)
 
 
+@pytest.mark.parametrize("sizes", [(1000, 1000, 6000), (3000, 3000, 3000)])
+def test_every_copy_follows_the_schedule(spark, sizes):
+    rnd, docs = random.Random(6), []
+    for s, n in zip("abc", sizes, strict=True):
+        while n:
+            k = min(n, rnd.randint(1, 20))
+            docs.append((len(docs), "w " * k, s))
+            n -= k
+    got = mixing.mix_report(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    for (s, n), want, slope in zip(zip("abc", sizes, strict=True), fill(list(sizes), [5, 2, 1]), mixing.SLOPES, strict=True):
+        own = [r for r in got if docs[r["doc_id"]][2] == s]
+        assert all(len(r["positions"]) == r["copies"] and r["positions"] == sorted(r["positions"]) and r["positions"][:1] in ([], [r["position"]]) for r in own)
+        words_in = Counter()
+        for r in own:
+            for t in r["positions"]:
+                words_in[min(int(t * 10), 9)] += r["size"]
+        reach = lambda t, slope=slope: t + slope * (t * t - t)
+        for i in range(10):
+            assert abs(words_in[i] - want * (reach((i + 1) / 10) - reach(i / 10))) <= 20, (s, n, i)
+
+
 # ---- 6
 
 

@@ -6,6 +6,7 @@ import zlib
 import pytest
 
 import corpus_pipeline
+from cartmill.llm import mixing
 
 DDL = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -78,3 +79,13 @@ def test_near_duplicates_decides_by_row(spark, tmp_path):
     assert [ids[x] for x in (a, b, c, d, e, f, g, h)] == [1, None, 3, 5, None, 7, 9, 9]
     again = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(5), str(tmp_path)).collect()]
     assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_mix_deals_each_copy_where_its_schedule_reaches(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(i, f"t{i} " * rnd.randint(1, 20), "en" if i % 5 else None, "abc"[i % 3], i if i % 7 else None) for i in range(600)]
+    docs = spark.createDataFrame(rows, DDL).repartition(3)
+    plan = [(t, r["doc_id"]) for r in mixing.mix_report(docs).collect() for t in r["positions"]]
+    got = corpus_pipeline.mix(spark, docs, str(tmp_path)).collect()
+    assert [r["doc_id"] for r in got] == [i for _, i in sorted(plan)]
+    assert {tuple(r) for r in got} <= set(rows) and len(got) > len({i for _, i in plan})
