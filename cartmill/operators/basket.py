@@ -84,24 +84,31 @@ def naive(found: DataFrame) -> DataFrame:
 
 
 def drop_one(found: DataFrame) -> DataFrame:
-    """Beyond 16 shops: from all, drop the first shop (by id) whose loss makes the plan cheaper, until none does. Only costs reach the driver."""
-    shops = sorted(r[0] for r in found.select("shop_id").distinct().collect())
+    """Beyond 16 shops: from all, drop the first shop (by id) whose loss makes the plan cheaper, until none does. Only plans reach the driver.
+
+    The loss of a shop that the plan doesn't use changes nothing, so only those that it uses are tried.
+    """
     k = found.select("product_id").distinct().count()
 
-    def cost(kept: list[int]) -> float | None:
+    def plan(gone: list[int]):
         w = Window.partitionBy("product_id").orderBy("price", "shop_id")
-        picks = found.filter(F.col("shop_id").isin(kept)).withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").withColumn("plan", F.lit(0))
+        picks = found.filter(~F.col("shop_id").isin(gone)).withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").withColumn("plan", F.lit(0))
         row = cost_of(picks, "plan").first()
-        return row["cost"] if row and row["items"] == k else None
+        return row if row and row["items"] == k else None
 
-    best = cost(shops)
-    again = True
-    while again and len(shops) > 1:
+    gone, at = [], plan([])
+    again = at is not None
+    while again:
         again = False
-        for s in shops:
-            less = [x for x in shops if x != s]
-            c = cost(less)
-            if c is not None and best is not None and c < best:
-                shops, best, again = less, c, True
+        for s in at["shops"]:
+            less = plan([*gone, s])
+            if less is not None and less["cost"] < at["cost"]:
+                gone, at, again = [*gone, s], less, True
                 break
-    return found.sparkSession.createDataFrame([(best, ",".join(map(str, shops)))], "cost double, shops string")
+    rows = [(at["cost"], ",".join(map(str, at["shops"])))] if at else []
+    return found.sparkSession.createDataFrame(rows, "cost double, shops string")
+
+
+def best(found: DataFrame) -> DataFrame:
+    """One row: cost and the shops used; exact up to 16 shops, by drop_one beyond."""
+    return optimal(found) if found.select("shop_id").distinct().count() <= EXACT_SHOPS else drop_one(found)

@@ -120,9 +120,9 @@ def q_basket_weight(spark, sf):
     return lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(F.sum(shipping.item_grams(grams, F.col("l_quantity").cast("long"))).alias("grams"))
 
 
-def _basket(spark, sf):
-    """Eight shops; the first four products that two of them or more have in stock, and the first that none has; derived from the data."""
-    shops = views.shops(spark, sf).orderBy("shop_id").limit(8).select("shop_id", F.lit(True).alias("active"), F.array("country").alias("ships_to")).withColumn("rules", _rules())
+def _basket(spark, sf, some_shops=lambda shops: shops.orderBy("shop_id").limit(8)):
+    """Eight shops, as in the SQL, or others; the first four products that two of them or more have in stock, and the first that none has; derived from the data."""
+    shops = some_shops(views.shops(spark, sf)).select("shop_id", F.lit(True).alias("active"), F.array("country").alias("ships_to")).withColumn("rules", _rules())
     offers = views.offers(spark, sf).withColumn("offer_id", F.col("product_id") * 1_000_000 + F.col("shop_id"))
     near = offers.filter("in_stock").join(F.broadcast(shops.select("shop_id")), "shop_id", "left_semi")
     some = near.groupBy("product_id").agg(F.countDistinct("shop_id").alias("n"))
@@ -148,6 +148,27 @@ def q_basket_missing(spark, sf):
     return basket.missing(*_basket(spark, sf))
 
 
+def _whole_basket(spark, sf):
+    """The same over all shops."""
+    return _basket(spark, sf, lambda shops: shops)
+
+
+def q_basket_all_optimal(spark, sf):
+    return basket.best(_whole_basket(spark, sf)[1])
+
+
+def q_basket_all_single(spark, sf):
+    return basket.single_shop(_whole_basket(spark, sf)[1])
+
+
+def q_basket_all_naive(spark, sf):
+    return basket.naive(_whole_basket(spark, sf)[1])
+
+
+def q_basket_all_missing(spark, sf):
+    return basket.missing(*_whole_basket(spark, sf))
+
+
 def q_price_history(spark, sf):
     seen = views.observations(spark, sf).join(views.shops(spark, sf).select("shop_id", "slug"), "shop_id")
     return seen.select("product_id", "slug", "observed_at", "price", "in_stock")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cartmill.operators import basket, ingest, resolve, shipping, taxonomy
 from cartmill.operators.graph import components
-from cartmill.plans import views
+from cartmill.plans import registry, views
 from cartmill.sources import catalogues, html
 from cartmill.streaming import changes
 from cartmill.vocabulary import Vocabulary
@@ -67,6 +67,54 @@ def test_basket_is_exact(spark):
         assert basket.drop_one(found).first()["cost"] >= brute(rows, k)
 
 
+def test_basket_over_all_shops(spark, sf, monkeypatch):
+    every = registry.queries()
+    sold = [r for r in views.offers(spark, sf).filter("in_stock").collect()]
+    sellers = {}
+    for r in sold:
+        sellers.setdefault(r["product_id"], set()).add(r["shop_id"])
+    four = sorted(p for p, s in sellers.items() if len(s) >= 2)[:4]
+    unsold = sorted(r["product_id"] for r in views.products(spark, sf).collect() if r["product_id"] not in sellers)[:1]
+    offers = [r for r in sold if r["product_id"] in four]
+    shops = sorted({r["shop_id"] for r in offers})
+    assert len(shops) > 8
+
+    def plan(kept):
+        total, parcels = 0.0, {}
+        for p in four:
+            usable = [r for r in offers if r["product_id"] == p and r["shop_id"] in kept]
+            if not usable:
+                return None
+            o = min(usable, key=lambda r: (r["price"], r["shop_id"]))
+            goods, grams = parcels.get(o["shop_id"], (0.0, 0))
+            parcels[o["shop_id"]] = goods + o["price"] * (1 + p % 3), grams + (o["weight_grams"] or 500) * (1 + p % 3)
+        for s, (goods, grams) in parcels.items():
+            kg = grams / 1000
+            courier, locker = (12 if kg <= 1 else 18 if kg <= 3 else 18 * -(-grams // 3000)), (15 if kg <= 2 else 15 * -(-grams // 2000))
+            total += goods + (0 if goods >= 2500 + 100 * (s % 5) else min(courier, locker))
+        return total, sorted(parcels)
+
+    def rows(name):
+        return [tuple(r) for r in every[name](spark, sf).collect()]
+
+    text = lambda at: [(pytest.approx(at[0], abs=0.01), ",".join(map(str, at[1])))] if at else []
+    plans = [x for n in range(1, len(shops) + 1) for c in itertools.combinations(shops, n) if (x := plan(c))]
+    assert rows("q_basket_all_optimal") == text(min(plans, key=lambda x: (round(x[0], 2), len(x[1]), x[1])))
+    assert rows("q_basket_all_naive") == text(plan(shops))
+    assert rows("q_basket_all_single") == text(min((x for s in shops if (x := plan([s]))), default=None))
+    assert rows("q_basket_all_missing") == [(p, 1 + p % 3) for p in unsold]
+    kept, again = list(shops), True
+    while again:
+        again = False
+        for s in kept:
+            less = plan([x for x in kept if x != s])
+            if less and round(less[0], 2) < round(plan(kept)[0], 2):
+                kept, again = [x for x in kept if x != s], True
+                break
+    monkeypatch.setattr(basket, "EXACT_SHOPS", 4)
+    assert rows("q_basket_all_optimal") == text(plan(kept))
+
+
 def test_upsert_delists_and_keeps(spark):
     ddl = "shop_id long, external_id string, title string, price double, in_stock boolean"
     old = spark.createDataFrame([(1, "a", "A", 1.0, True), (1, "b", "B", 2.0, True), (1, "c", "C", 3.0, False)], ddl)
