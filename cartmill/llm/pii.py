@@ -1,7 +1,7 @@
 """Personal data by weak supervision.
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay. Beside them stand candidates of looser
-patterns: spelled-out addresses, IPv6, phone numbers without a plus, keys and tokens. Labelers vote on
+patterns: spelled-out addresses, IPv6 whole or with ::, phone numbers without a plus, keys and tokens. Labelers vote on
 every span, base or candidate: yes, no or nothing. They are of three kinds:
 - regex: how well formed the span is; checksum, digits, groups, entropy
 - gazetteer: known domain endings, card issuers, dialling codes, reserved networks, key prefixes
@@ -40,11 +40,15 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
+#: Up to seven groups of an IPv6 address, and keys whose form their prefix tells: those of AWS, and web tokens of two to five parts.
+GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
+KEYS = r"eyJ[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){1,4}(?<![.])|(?:AKIA|ASIA)[A-Z0-9]{16}"
+KEY = re.compile(KEYS)
 LOOSE = {
     "email": re.compile(r"\b[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z]{2,24}\b", re.IGNORECASE),
-    "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    "ip": re.compile(rf"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![0-9A-Fa-f:])|(?<![0-9A-Za-z_:.])(?:{GROUPS}::(?:{GROUPS})?|::{GROUPS})(?![0-9A-Za-z_:])"),
     "phone": re.compile(r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_-]{24,128}(?![A-Za-z0-9_+/=-])"),
+    "secret": re.compile(rf"(?<![A-Za-z0-9_+/-])(?:{KEYS}|[A-Za-z0-9_+/-]{{24,}}+={{0,2}}+)(?![A-Za-z0-9_+/=-])"),
 }
 
 #: Gazetteers.
@@ -116,16 +120,41 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     for kind, pattern in LOOSE.items():
         if kind == "email" and "at)" not in low and "at]" not in low and "at ]" not in low and "at )" not in low:
             continue
-        if kind != "email" and not has_digit or kind == "ip" and text.count(":") < 7:
+        if kind == "ip" and "::" not in text and text.count(":") < 7:
+            continue
+        if kind == "phone" and not has_digit or kind == "secret" and not has_digit and not any(x in text for x in ("eyJ", "AKIA", "ASIA")):
             continue
         k = KINDS.index(kind)
         for m in pattern.finditer(text):
-            if kind == "secret" and not (DIGIT.search(m[0]) and any(c.isalpha() for c in m[0])):
+            if kind == "secret" and not (DIGIT.search(m[0]) and any(c.isalpha() for c in m[0])) and not KEY.fullmatch(m[0]):
+                continue
+            if kind == "ip" and "::" in m[0] and sum(map(bool, m[0].split(":"))) > 7:
                 continue
             out.append((m.start(), k, m.end()))
     return sorted(x for x in out if not any(x[0] < b and a < x[2] for a, _, b in base))
 
 
+def in_order(span: str, *patterns: re.Pattern) -> bool:
+    """Whether the span has each pattern, each after the one before; in linear time."""
+    at = 0
+    for p in patterns:
+        found = p.search(span, at)
+        if not found:
+            return False
+        at = found.end()
+    return True
+
+
+def path_like(span: str) -> bool:
+    """Whether a span with slashes or plus signs is mostly words and numbers between signs, as in addresses of pages."""
+    parts = SIGNS.split(span) if "/" in span or "+" in span else []
+    return bool(parts) and 5 * sum(len(x) for x in parts if PLAIN.fullmatch(x)) >= 4 * sum(map(len, parts))
+
+
+SIGNS, PLAIN = re.compile(r"[/_+=-]"), re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+LOWER, UPPER, LETTER = re.compile(r"[a-z]"), re.compile(r"[A-Z]"), re.compile(r"[A-Za-z]")
+HEX = re.compile(r"[0-9a-f]{32,64}|[0-9A-F]{32,64}")
+
 #: Labelers in the order of their votes: 1 yes, -1 no, 0 nothing.
 LABELERS = ("regex_form", "regex_digits", "gazetteer_known", "gazetteer_reserved", "context_words", "context_assign", "context_code")
 
@@ -140,10 +169,10 @@ def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
         shape = 1 if any(c.isalpha() for c in span) else -1
         known = 1 if domain.rsplit(".", 1)[-1].lower() in ENDINGS else -1 if domain.rsplit(".", 1)[-1].isdigit() else 0
     elif name == "ip":
-        form = 1
+        form = -1 if "::" in span and not digits else 1  # a::b is rather a name in code
         parts = span.split(".") if "." in span else []
         shape = -1 if parts and all(len(p) == 1 for p in parts) else 1
-        reserved = -1 if parts and parts[0] in ("0", "255") else 0
+        reserved = -1 if parts and parts[0] in ("0", "255") or span == "::1" else 0
         known = 1 if parts and not any(len(p) > 1 and p[0] == "0" for p in parts) else 0
     elif name == "card":
         form = 1 if luhn(digits) else -1
@@ -155,12 +184,14 @@ def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
         known = 1 if span[:1] == "+" and any(digits[:n] in DIALLING for n in (1, 2)) else 0
         reserved = -1 if len(set(digits)) < 3 else 0
     else:
-        form = 1 if len(set(span)) >= 12 and re.fullmatch(r"[0-9a-f]{32,64}|[0-9A-F]{32,64}|.*[a-z].*[A-Z].*[0-9].*|.*[0-9].*[A-Za-z].*[0-9].*", span) else -1
-        shape = 1 if 0.15 <= len(digits) / len(span) <= 0.9 else -1
+        whole = KEY.fullmatch(span) is not None
+        mixed = HEX.fullmatch(span) or in_order(span, LOWER, UPPER, DIGIT) or in_order(span, DIGIT, LETTER, DIGIT)
+        form = 1 if whole or len(set(span)) >= 12 and mixed and not path_like(span) else -1
+        shape = 0 if whole else 1 if 0.15 <= len(digits) / len(span) <= 0.9 else -1
         known = 1 if span.startswith(KEY_PREFIXES) else 0
     words = 1 if TELLING[name].search(before) else 0
     assign = (1 if ASSIGN.search(before) else -1 if name == "secret" else 0) if name != "phone" else 0
-    code = -1 if CODE.search(before) else 0
+    code = -1 if CODE.search(before) or name == "secret" and "/" in span and (before[-1:] in (".", ":") or span[0] == "/") else 0
     return form, shape, known, reserved, words, assign, code
 
 
