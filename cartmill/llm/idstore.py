@@ -23,11 +23,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import struct
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,8 +42,8 @@ END_ID = 0
 #: A chunk ends after an id where the rolling hash of the last WINDOW ids has CUT_BITS zero bits, and at MAX_IDS.
 WINDOW, CUT_BITS, MIN_IDS, MAX_IDS = 16, 11, 256, 16_384
 ROLL = 0xD1342543DE82EF95
-MEMO_PIECES = 650_000
-IDS_PER_BUCKET = 16_000_000
+MEMO_PIECES, LONGEST_KEY = 650_000, 48
+IDS_PER_BUCKET, SLICE_BYTES = 16_000_000, 4 << 20
 
 #: Characters that are neither letters, digits nor white space; an apostrophe or bracket opens other pre-tokens.
 MARKS = ".,!?;:#*$%&"
@@ -50,7 +52,10 @@ OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
 class Memo(dict):
-    """Remembers what `make` gives: up to `most` runs of letters, which are dear to make, and an eighth of that of other keys."""
+    """Remembers what `make` gives: up to `most` runs of letters, which are dear to make, and an eighth of that of other keys.
+
+    Keys of more than LONGEST_KEY characters are made each time, so that what is held is bounded in bytes too.
+    """
 
     def __init__(self, make: Callable[[str], bytes], most: int):
         super().__init__()
@@ -58,6 +63,8 @@ class Memo(dict):
 
     def __missing__(self, key: str) -> bytes:
         made = self.make(key)
+        if len(key) > LONGEST_KEY:
+            return made
         if key.isalpha():
             if self.left > 0:
                 self.left -= 1
@@ -85,6 +92,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        self.model, self.spelled = self.tokenizer.model, self._spelling()
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)  # the memos serve in its place
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pre = Memo(self._library, memo // 4)  # pre-tokens as they are
         self.whole = Memo(self._piece, memo // 4)  # pieces as they are
@@ -92,17 +102,50 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned integers of `width` bytes, without an end id."""
-        return [self._text(t) if t else b"" for t in texts]
+        out = [b""] * len(texts)
+        plain = []
+        for i, t in enumerate(texts):
+            if t and self._loose(t):
+                out[i] = b"".join(map(self.whole.__getitem__, self.pieces(t)))
+            elif t:
+                plain.append(i)
+        if plain:
+            for i, ids in zip(plain, self._plain([texts[i] for i in plain]), strict=True):
+                out[i] = ids
+        return out
 
-    def _text(self, text: str) -> bytes:
-        # a plain text's pieces but the first are opened by a space each; other texts are cut with care
-        if self._loose(text):
-            return b"".join(map(self.whole.__getitem__, self.pieces(text)))
-        first, *rest = text.split(" ")
-        return self.whole[first] + b"".join(map(self.spaced.__getitem__, rest))
+    def _plain(self, texts: list[str]) -> Iterator[bytes]:
+        """Of texts whose pieces but the first are opened by a space each: every distinct piece is looked up once for all of them."""
+        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        bounds, words = np.asarray(cut.offsets), cut.flatten().dictionary_encode()
+        made = [self.spaced[w] for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()]
+        index = words.indices.to_numpy().astype(np.int64)
+        index[bounds[:-1]] = len(made) + np.arange(len(texts))
+        made += [self.whole[t.split(" ", 1)[0]] for t in texts]
+        n_ids = np.fromiter(map(len, made), np.int64, len(made)) // self.width
+        starts = (np.cumsum(n_ids) - n_ids)[index]
+        n_ids = n_ids[index]
+        ends = np.cumsum(n_ids)
+        ids = np.frombuffer(b"".join(made), f"<u{self.width}")
+        raw = ids[np.repeat(starts - ends + n_ids, n_ids) + np.arange(ends[-1])].tobytes()
+        at = self.width * np.concatenate([[0], ends])[bounds]
+        return (raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+    def _spelling(self) -> dict[int, str]:
+        """How the library spells letters and the space for its model, up to U+024F; empty unless the vocabulary is a plain byte-level one."""
+        from tokenizers import pre_tokenizers
+
+        step = self.tokenizer.pre_tokenizer
+        if self.tokenizer.normalizer is not None or not isinstance(step, pre_tokenizers.ByteLevel) or step.add_prefix_space:
+            return {}
+        return {ord(c): step.pre_tokenize_str(c)[0][0] for c in map(chr, range(0x250)) if c == " " or c.isalpha()}
 
     def _spaced(self, rest: str) -> bytes:
-        if rest.isalpha():  # with its space one pre-token
+        if rest.isalpha():  # with its space one pre-token, so the library's model takes it as it is
+            if self.spelled and rest.isascii():
+                return self._bytes([t.id for t in self.model.tokenize(self.spelled[32] + rest)])
+            if self.spelled and max(rest) < "\u0250":
+                return self._bytes([t.id for t in self.model.tokenize(self.spelled[32] + rest.translate(self.spelled))])
             return self._library(f" {rest}")
         letters = rest.rstrip(MARKS)
         if letters.isalpha():  # and the marks after it another
@@ -115,7 +158,10 @@ class Encoder:
         return b"".join([self.spaced[x[1:]] if x[0] == " " and x[1:].isalpha() else self.pre[x] for x in self.PRE_TOKENS.findall(piece)])
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     @staticmethod
     def _loose(text: str) -> bool:
@@ -147,8 +193,10 @@ def cuts(ids: np.ndarray) -> list[int]:
         return [n]
     with np.errstate(over="ignore"):
         weights = powers(ROLL, WINDOW)
-        x = ids.astype(np.uint64) + np.uint64(1)
-        rolled = sum(x[k : n - WINDOW + 1 + k] * weights[k] for k in range(WINDOW))
+        rolled, span = ids.astype(np.uint64) + np.uint64(1), 1
+        while span < WINDOW:  # a polynomial over 2, 4, 8, ... ids
+            rolled = rolled[:-span] + rolled[span:] * weights[span]
+            span *= 2
     ends = np.flatnonzero((rolled >> np.uint64(64 - CUT_BITS)) == 0) + WINDOW
     out, last = [], 0
     for e in [*ends[ends < n].tolist(), n]:
@@ -200,14 +248,24 @@ ENCODED = pa.schema([("doc", pa.int64()), ("n_tokens", pa.int64()), ("digests",
 ENCODED_DDL = "doc long, n_tokens long, digests array<binary>, leaf binary, fresh array<struct<digest:binary,n_ids:long,data:binary>>"
 
 
+def _slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Rows in order, about `most` bytes of text at a time or one row with more."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0), np.int64))
+    first = 0
+    while first < len(batch):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         w = encode.width
         seen: set[bytes] = set()
         for batch in batches:
-            for i in range(0, len(batch), 128):
-                docs, texts = batch.column(0).slice(i, 128).to_pylist(), batch.column(1).slice(i, 128).to_pylist()
+            for some in _slices(batch):
+                docs, texts = some.column(0).to_pylist(), some.column(1).to_pylist()
                 rows = []
                 for doc, code in zip(docs, encode(texts), strict=True):
                     data = code + int(END_ID).to_bytes(w, "little")
