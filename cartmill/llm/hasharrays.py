@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def smallest(a: np.ndarray) -> np.ndarray:
@@ -53,12 +54,17 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 
 def store(folder: str, name: str, columns: list[np.ndarray]) -> None:
-    """Writes a file of arrays, whole or not at all: a task that runs twice writes the same file."""
+    """Writes a file of arrays, whole or not at all. A task that runs twice gives the same file: the first that is there stays."""
     system, path = pafs.FileSystem.from_uri(folder)
     part = f"{path}/{name}.{uuid.uuid4().hex}"
     with system.open_output_stream(part) as out:
         out.write(to_bytes(columns))
-    system.move(part, f"{path}/{name}")
+    try:
+        system.move(part, f"{path}/{name}")
+    except OSError:  # some file systems don't move onto a name that is there
+        if system.get_file_info(f"{path}/{name}").type != pafs.FileType.File:
+            raise
+        system.delete_file(part)
 
 
 def mapped(folder: str, name: str) -> list[np.ndarray]:
@@ -84,13 +90,15 @@ def summed(key: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     return [key[first], *(np.add.reduceat(v[order].astype(np.uint64), first) for v in values)]
 
 
-def split(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+def split(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each bucket that occurs, and the places of its items."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        if at[b] < at[b + 1]:
-            yield b, order[at[b] : at[b + 1]]
+    held = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    for b, part in zip(held[first].tolist(), np.split(order, first[1:]), strict=True):
+        yield b, part
 
 
 def rows(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -101,12 +109,13 @@ ROWS = "bucket int, data binary"
 
 
 def deal(df: DataFrame, n: int) -> DataFrame:
-    """Each bucket's rows to one task, bucket after bucket."""
-    return df.repartition(n, "bucket").sortWithinPartitions("bucket")
+    """Each bucket's rows to one task, bucket after bucket. Every bucket has a row, if only one without data, so that each gets its file."""
+    every = df.sparkSession.range(n).select(F.col("id").cast("int").alias("bucket"), F.lit(None).cast(df.schema[1].dataType).alias(df.columns[1]))
+    return df.unionByName(every).repartition(n, "bucket").sortWithinPartitions("bucket")
 
 
 def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """Rows that are sorted by bucket, bucket by bucket."""
+    """What rows that are sorted by bucket hold, bucket by bucket; nothing of rows without data."""
     at, held = None, []
     for batch in batches:
         for b, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -114,7 +123,8 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[byt
                 yield at, held
                 held = []
             at = b
-            held.append(x)
+            if x is not None:
+                held.append(x)
     if at is not None:
         yield at, held
 

@@ -5,15 +5,20 @@ Classes. Documents with equal sets form a class, known by the set's 64-bit signa
 Prefixes (after Wang, Li and Feng, 2012). All shingles have one order, rare ones first. Two sets that link share
 `ell` shingles among the first n - ceil(0.8 n) + ell of each, for any ell. Each set takes the ell of least
 estimated cost: a longer prefix reads more postings but asks candidates for more shared shingles. A pair is a
-candidate if its prefixes share as many as the smaller of the two ells. The order may rest on estimates, as any
-order gives all links: shingles that a sample of documents shows to be frequent come last, by frequency.
+candidate if its prefixes share as many as the smaller of the two ells. Frequencies are counted over all classes, in
+slots of a hash table with SLOTS places a shingle: what shares a slot looks a little more frequent than it is, never
+less, and any order gives all links. A shingle counted once is in one class only, so it has no posting.
 
 Links. In each posting list all sets are first compared with the list's least and greatest one, and what links
 is put together. Only pairs that share a list and are still apart are candidates then, so that a group of many
 near copies costs about as many pairs as it has members, not their square; no pair that could link groups is
-left out. Candidates are verified exactly, on whole sets that workers map into memory.
+left out. Of those, sets of unlike sizes never meet, as lists are cut into bands by size, and a pair is dropped at
+once if 1024 bits of the two sets' parities show that they can't link: where a bit is the parity of the shingles
+that hash to it, the bits that differ are at most the shingles that one set alone has, and two sets of m and n
+shingles that link have at most (m + n) / 9 of those. Candidates are verified exactly, on whole sets that
+workers map into memory.
 
-Result: component_id is the least doc_id reachable over links. Cases: null and blank texts have empty sets and are linked
+Result: component_id is the least doc_id reachable over links (doc_id of any type that has an order). Cases: null and blank texts have empty sets and are linked
 with nothing. A text of fewer than five words is one shingle. Equal rows are rows each. An empty table gives
 no rows. Only doc_id and text are read. A null doc_id never names a component that has another doc_id.
 """
@@ -23,6 +28,7 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +38,13 @@ from pyspark.sql import functions as F
 
 from cartmill.llm.hasharrays import ROWS, by_bucket, deal, find, mapped, pack, rows, smallest, split, store, unpack
 from cartmill.llm.text import shared_dir
-from cartmill.llm.wordhash import chunks, mix64, shingles
+from cartmill.llm.wordhash import BASE, chunks, mix64, shingles
 from cartmill.operators.graph import components
 
-#: The sample that estimates frequencies: one class in SAMPLE; shingles seen SEEN times in it count as frequent.
-SAMPLE, SEEN = 16, 2
+#: Places of the table of frequencies for each shingle of the documents, and the least that it has.
+SLOTS, LEAST_SLOTS = 4, 1 << 16
+#: Words of 64 parity bits, and the ratio of sizes that makes a band: more than that of sets that link.
+MAPS, BAND = 16, 1.26
 #: The longest ell tried, and the cost of a verification in postings read.
 ELLS, VERIFY_COST = 16, 40
 PERCENT = 80
@@ -69,75 +77,100 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sig, pa.int64(), mask=n == 0)], ["doc_id", "n_shingles", "sig"])
 
 
-def _buckets(held: list[np.ndarray], extra: list[np.ndarray], n: int) -> list[tuple[int, bytes]]:
-    key = np.concatenate(held)
-    return [(b, pack([key[i], *(e[i] for e in extra)])) for b, i in split((mix64(key) % np.uint64(n)).astype(np.int64), n)]
+@dataclass(frozen=True)
+class Slots:
+    """A table of 2**bits slots in 2**bucket_bits buckets."""
 
+    bits: int
+    bucket_bits: int
 
-def _sampled(n: int):
-    """Shingles of the sampled classes, packed by bucket; a task sends a class once."""
+    @classmethod
+    def for_shingles(cls, total: int) -> Slots:
+        bits = math.ceil(math.log2(max(LEAST_SLOTS, SLOTS * total)))
+        return cls(bits, max(3, math.ceil(math.log2(max(1, total) / SHINGLES_PER_BUCKET))))
+
+    def of(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bucket of each shingle, and its slot there."""
+        slot = mix64(key ^ np.uint64(BASE)) >> np.uint64(64 - self.bits)
+        inside = np.uint64(self.bits - self.bucket_bits)
+        return (slot >> inside).astype(np.int64), slot & np.uint64((1 << int(inside)) - 1)
+
+
+def _counted(slots: Slots):
+    """The slots of all classes' shingles, packed by bucket as differences; a task sends a class once."""
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, slot = slots.of(np.concatenate(held))
+        found = []
+        for b, i in split(bucket):
+            found.append((b, pack([smallest(np.diff(np.sort(slot[i]), prepend=np.uint64(0)))])))
+        return rows(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, size = set(), [], 0
         for _, _, own, sig in sets(batches, 0):
-            if sig % SAMPLE == 0 and sig not in seen:
+            if sig not in seen:
                 seen.add(sig)
                 held.append(own)
                 size += len(own)
-                if size >= 1_000_000:
-                    yield rows(_buckets(held, [], n))
+                if size >= 2_000_000:
+                    yield packed(held)
                     held, size = [], 0
+            if len(seen) > 500_000:
+                seen.clear()
         if size:
-            yield rows(_buckets(held, [], n))
+            yield packed(held)
 
     return run
 
 
 def _frequent(folder: str):
+    """Stores the slots that were met twice or more, and how often."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, held in by_bucket(batches):
-            key, count = np.unique(np.concatenate([unpack(x)[0] for x in held]), return_counts=True)
-            keep = count >= SEEN
-            store(folder, f"frequent-{b}", [key[keep], smallest(count[keep])])
+            every = [np.cumsum(unpack(x)[0].astype(np.uint64), dtype=np.uint64) for x in held]
+            key, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *every]), return_counts=True)
+            keep = count > 1
+            store(folder, f"frequent-{b}", [key[keep].astype(np.uint32), smallest(count[keep])])
             yield rows([(b, b"")])
 
     return run
 
 
 class Frequencies:
-    """Estimated document frequencies; 0 for what isn't frequent."""
+    """How many sets have a shingle, at least: 0 where that is one."""
 
-    def __init__(self, folder: str, n: int):
-        self.folder, self.n, self.files = folder, n, {}
+    def __init__(self, folder: str, slots: Slots):
+        self.folder, self.slots, self.files = folder, slots, {}
 
     def __call__(self, key: np.ndarray) -> np.ndarray:
         out = np.zeros(len(key), np.int64)
-        for b, at in split((mix64(key) % np.uint64(self.n)).astype(np.int64), self.n):
+        bucket, slot = self.slots.of(key)
+        for b, at in split(bucket):
             if b not in self.files:
-                try:
-                    self.files[b] = mapped(self.folder, f"frequent-{b}")
-                except FileNotFoundError:
-                    self.files[b] = [np.zeros(0, np.uint64), np.zeros(0, np.uint8)]
-            place, known = find(self.files[b][0], key[at])
-            out[at[known]] = self.files[b][1][place].astype(np.int64) * SAMPLE
+                self.files[b] = mapped(self.folder, f"frequent-{b}")
+            place, known = find(self.files[b][0], slot[at].astype(np.uint32))
+            out[at[known]] = self.files[b][1][place].astype(np.int64)
         return out
 
 
 def prefix(own: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
-    """The prefix of a set and its ell."""
+    """The prefix of a set, without what no other set has, and its ell."""
     order = np.lexsort((own, frequency))
     n = len(own)
     least = int(needed(np.int64(n)))
     ells = np.arange(1, min(ELLS, least) + 1)
-    read = np.cumsum(frequency[order])[n - least + ells - 1]
+    read = np.cumsum(np.maximum(frequency[order] - 1, 0))[n - least + ells - 1]
     cost = read + (n - least + ells) + VERIFY_COST * read / ells
     ell = int(ells[np.argmin(cost)])
-    return own[order[: n - least + ell]], ell
+    first = order[: n - least + ell]
+    return own[first[frequency[first] > 0]], ell
 
 
-def _postings(folder: str, n_frequent: int, n: int):
+def _postings(folder: str, slots: Slots, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        estimate, seen = Frequencies(folder, n_frequent), set()
+        estimate, seen = Frequencies(folder, slots), set()
         group, size, held, facts, posted = [], 0, [], [], 0
 
         def prefixes() -> None:
@@ -147,6 +180,8 @@ def _postings(folder: str, n_frequent: int, n: int):
             for own, sig in group:
                 first, ell = prefix(own, every[at : at + len(own)])
                 at += len(own)
+                if not len(first):
+                    continue
                 held.append(first)
                 facts.append((sig, len(own), ell, len(first)))
                 posted += len(first)
@@ -156,7 +191,7 @@ def _postings(folder: str, n_frequent: int, n: int):
             index = np.repeat(np.arange(len(sig)), length)
             key = np.concatenate(held)
             found = []
-            for b, i in split((mix64(key) % np.uint64(n)).astype(np.int64), n):
+            for b, i in split((mix64(key) % np.uint64(n)).astype(np.int64)):
                 own, where = np.unique(index[i], return_inverse=True)
                 found.append((b, pack([key[i], smallest(where), sig[own].view(np.uint64), smallest(size[own]), smallest(ell[own])])))
             return rows(found)
@@ -186,6 +221,8 @@ def _postings(folder: str, n_frequent: int, n: int):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of the shingles that two classes or more have in their prefixes."""
     for _, held in by_bucket(batches):
+        if not held:
+            continue
         key, sig, size, ell = [], [], [], []
         for x in held:
             k, where, s, n, e = unpack(x)
@@ -216,7 +253,7 @@ def _whole_sets(folder: str, wanted: int, n: int):
         def flush() -> pa.RecordBatch:
             sig = np.array(list(held), np.int64).view(np.uint64)
             own = list(held.values())
-            return rows([(b, pack([sig[i], smallest(np.array([len(own[k]) for k in i])), np.concatenate([own[k] for k in i])])) for b, i in split(bucket_of(sig, n), n)])
+            return rows([(b, pack([sig[i], smallest(np.array([len(own[k]) for k in i])), np.concatenate([own[k] for k in i])])) for b, i in split(bucket_of(sig, n))])
 
         for _, _, own, sig in sets(batches, 0):
             if sig not in seen:
@@ -250,7 +287,7 @@ def _store_sets(folder: str):
                     found.setdefault(s, every[ends[k] - int(length[k]) : ends[k]])
             sig = np.array(sorted(found), np.uint64)
             ends = np.cumsum([len(found[s]) for s in sig.tolist()])
-            store(folder, f"sets-{b}", [sig, ends.astype(np.uint64), np.concatenate([found[s] for s in sig.tolist()])])
+            store(folder, f"sets-{b}", [sig, np.array(ends, np.uint64), np.concatenate([np.zeros(0, np.uint64), *(found[s] for s in sig.tolist())])])
             yield rows([(b, b"")])
 
     return run
@@ -258,18 +295,9 @@ def _store_sets(folder: str):
 
 def _store_wanted(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-        for batch in batches:
-            for b, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if at is not None and b != at:
-                    store(folder, f"wanted-{at}", [np.unique(np.array(held, np.int64).view(np.uint64))])
-                    held = []
-                    yield rows([(at, b"")])
-                at = b
-                held.append(s)
-        if at is not None:
-            store(folder, f"wanted-{at}", [np.unique(np.array(held, np.int64).view(np.uint64))])
-            yield rows([(at, b"")])
+        for b, held in by_bucket(batches):
+            store(folder, f"wanted-{b}", [np.unique(np.array(held, np.int64).view(np.uint64))])
+            yield rows([(b, b"")])
 
     return run
 
@@ -284,13 +312,8 @@ class SetFiles:
         key = np.array([sig], np.int64).view(np.uint64)
         b = int(bucket_of(key, self.n)[0])
         if b not in self.files:
-            try:
-                self.files[b] = mapped(self.folder, f"{self.name}-{b}")
-            except FileNotFoundError:
-                self.files[b] = None
+            self.files[b] = mapped(self.folder, f"{self.name}-{b}")
         got = self.files[b]
-        if got is None:
-            return None
         i = int(np.searchsorted(got[0], key[0]))
         return (got, i) if i < len(got[0]) and got[0][i] == key[0] else None
 
@@ -323,6 +346,22 @@ def _verify(folder: str, n: int):
     return run
 
 
+def _maps(folder: str, n: int):
+    """The parity bits of each signature's set, in MAPS words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = SetFiles(folder, "sets", n)
+        for batch in batches:
+            bits = np.zeros((len(batch), 64 * MAPS), np.uint8)
+            for i, sig in enumerate(batch.column(0).to_pylist()):
+                place = (mix64(files.set(sig)) >> np.uint64(32)) % np.uint64(64 * MAPS)
+                bits[i] = np.bincount(place.astype(np.int64), minlength=64 * MAPS) & 1
+            words = np.ascontiguousarray(np.packbits(bits, axis=1).view(np.int64).T)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, words)], ["sig", *(f"m{k}" for k in range(MAPS))])
+
+    return run
+
+
 def may_link(m: Column, n: Column) -> Column:
     """Whether sets of m and n shingles can be similar enough."""
     return 100 * F.least(m, n) >= PERCENT * F.greatest(m, n)
@@ -335,12 +374,14 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     system, path = pafs.FileSystem.from_uri(folder)
     system.create_dir(path)
     kept = lambda df, name: df.write.parquet(f"{folder}/{name}") or spark.read.parquet(f"{folder}/{name}")
-    texts = docs.select(text)
-    all_sets = kept(docs.select(F.col(doc).cast("long").alias("doc_id"), text).mapInArrow(_signatures, "doc_id long, n_shingles long, sig long"), "signatures")
+    texts, id_type = docs.select(text), docs.select(doc).schema[0].dataType.simpleString()
+    all_sets = kept(docs.select(F.col(doc).alias("doc_id"), text).mapInArrow(_signatures, f"doc_id {id_type}, n_shingles long, sig long"), "signatures")
     total = all_sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    n = max(8, math.ceil(total / SHINGLES_PER_BUCKET))
-    deal(texts.mapInArrow(_sampled(n), ROWS), n).mapInArrow(_frequent(folder), ROWS).count()
-    shared = kept(deal(texts.mapInArrow(_postings(folder, n, n), ROWS), n).mapInArrow(_shared, "shingle long, sig long, n long, ell long"), "shared")
+    n, slots = max(8, math.ceil(total / SHINGLES_PER_BUCKET)), Slots.for_shingles(total)
+    deal(texts.mapInArrow(_counted(slots), ROWS), 1 << slots.bucket_bits).mapInArrow(_frequent(folder), ROWS).count()
+    shared = kept(deal(texts.mapInArrow(_postings(folder, slots, n), ROWS), n).mapInArrow(_shared, "shingle long, sig long, n long, ell long"), "shared")
+    for b in range(1 << slots.bucket_bits):
+        system.delete_file(f"{path}/frequent-{b}")
     n_sets = 2 * n
     _keep_sets(spark, texts, shared, folder, n_sets)
 
@@ -353,10 +394,8 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
 
     # what still is apart
     apart = kept(_mixed(shared, components(links, f"{folder}/again")), "apart")
-    one, two = apart.alias("one"), apart.alias("two")
-    meets = (F.col("one.shingle") == F.col("two.shingle")) & (F.col("one.sig") < F.col("two.sig")) & (F.col("one.root") != F.col("two.root")) & may_link(F.col("one.n"), F.col("two.n"))
-    met = one.join(two, meets).groupBy(F.col("one.sig").alias("a"), F.col("two.sig").alias("b")).agg(F.count("*").alias("both"), F.min(F.least("one.ell", "two.ell")).alias("ell"))
-    late = kept(_linked(met.filter("both >= ell").select("a", "b"), folder, n_sets), "late")
+    maps = apart.select("sig").distinct().mapInArrow(_maps(folder, n_sets), ", ".join(["sig long", *(f"m{k} long" for k in range(MAPS))]))
+    late = kept(_linked(_met(apart.join(kept(maps, "maps"), "sig")), folder, n_sets), "late")
     roots = components(links.unionByName(late), f"{folder}/second").withColumnRenamed("node", "sig")
 
     classes = all_sets.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first")).join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -365,6 +404,21 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     return all_sets.join(names, "sig", "left").select("doc_id", "n_shingles", "sig", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _met(apart: DataFrame) -> DataFrame:
+    """Candidates a < b of different roots: pairs that share as many listed shingles as the smaller ell, and may link by size and parity."""
+    band = F.floor(F.log(F.col("n")) / math.log(BAND))
+    two = apart.withColumn("band", band).alias("two")
+    one = apart.withColumn("band", band).withColumn("key", F.explode(F.array("band", F.col("band") + 1))).alias("one")
+    differ = sum((F.bit_count(F.col(f"one.m{k}").bitwiseXOR(F.col(f"two.m{k}"))) for k in range(1, MAPS)), F.bit_count(F.col("one.m0").bitwiseXOR(F.col("two.m0"))))
+    once = (F.col("one.band") < F.col("two.band")) | (F.col("one.sig") < F.col("two.sig"))
+    meets = (F.col("one.shingle") == F.col("two.shingle")) & (F.col("one.key") == F.col("two.band")) & once & (F.col("one.root") != F.col("two.root"))
+    m, n = F.col("one.n"), F.col("two.n")
+    meets = meets & may_link(m, n) & ((100 + PERCENT) * differ <= (100 - PERCENT) * (m + n))
+    pair = [F.least("one.sig", "two.sig").alias("a"), F.greatest("one.sig", "two.sig").alias("b")]
+    met = one.join(two, meets).groupBy(*pair).agg(F.count("*").alias("both"), F.min(F.least("one.ell", "two.ell")).alias("ell"))
+    return met.filter("both >= ell").select("a", "b")
+
+
 def _against(lists: DataFrame, order: Column, across: bool = False) -> DataFrame:
     """Distinct pairs a < b of each list's sets with those of least and greatest order there; only of different roots if asked."""
     facts = F.struct(*lists.columns[1:])

@@ -81,7 +81,7 @@ def _count_words(n: int):
 
         def flush() -> pa.RecordBatch:
             word, count = np.unique(np.concatenate(held), return_counts=True)
-            return rows([(b, pack([word[i], smallest(count[i])])) for b, i in split((mix64(word) % np.uint64(n)).astype(np.int64), n)])
+            return rows([(b, pack([word[i], smallest(count[i])])) for b, i in split((mix64(word) % np.uint64(n)).astype(np.int64))])
 
         for batch in batches:
             for w in chunks(batch.column(0)):
@@ -106,7 +106,7 @@ def _count_bigrams(n: int, hot: np.ndarray):
             key, first, count = np.unique(bigram(v, w), return_index=True, return_counts=True)
             v, w = v[first], w[first]
             found = []
-            for b, i in split(bucket_of(v, key, hot, n), n):
+            for b, i in split(bucket_of(v, key, hot, n)):
                 i = i[np.argsort(v[i], kind="stable")]
                 heads, begin = np.unique(v[i], return_index=True)
                 found.append((b, pack([heads, smallest(np.diff(np.append(begin, len(i)))), w[i], smallest(count[i])])))
@@ -128,6 +128,8 @@ def _count_bigrams(n: int, hot: np.ndarray):
 
 def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, held in by_bucket(batches):
+        if not held:
+            continue
         word, count = summed(*(np.concatenate([x.astype(np.uint64) for x in c]) for c in zip(*map(unpack, held), strict=True)))
         yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([pack([word, smallest(count)])], pa.binary()), pa.array([len(word)], pa.int64()), pa.array([int(count.sum())], pa.int64())], ["bucket", "data", "types", "total"])
 
@@ -143,17 +145,18 @@ def _merge_bigrams(folder: str, n_words: int):
                 v.append(np.repeat(heads, lengths.astype(np.int64)))
                 w.append(tails)
                 c.append(counts.astype(np.uint64))
-            v, w, c = np.concatenate(v), np.concatenate(w), np.concatenate(c)
+            none = np.zeros(0, np.uint64)
+            v, w, c = (np.concatenate([none, *x]) for x in (v, w, c))
             key = bigram(v, w)
             order = np.argsort(key, kind="stable")
             key, v, w, c = key[order], v[order], w[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            key, v, w, c = key[first], v[first], w[first], np.add.reduceat(c, first)
+            first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+            key, v, w, c = key[first], v[first], w[first], np.add.reduceat(c, first) if len(c) else c
             many = np.flatnonzero(c >= 255)
             store(folder, f"bigrams-{b}", [key, np.minimum(c, 255).astype(np.uint8), many.astype(np.uint64), c[many]])
             one, two, more = (c == 1), (c == 2), (c >= 3)
             word, *facts = summed(np.concatenate([v, w]), *(np.concatenate(x) for x in ((np.zeros(len(v)), np.ones(len(w))), *((x, np.zeros(len(w))) for x in (one, two, more)))))
-            found = [(i, pack([word[at], *(smallest(f[at]) for f in facts)])) for i, at in split((mix64(word) % np.uint64(n_words)).astype(np.int64), n_words)]
+            found = [(i, pack([word[at], *(smallest(f[at]) for f in facts)])) for i, at in split((mix64(word) % np.uint64(n_words)).astype(np.int64))]
             found.append((-1, pack([np.array([np.count_nonzero(c == k) for k in (1, 2, 3, 4)] + [len(c)], np.uint64)])))
             yield rows(found)
 
@@ -172,7 +175,8 @@ def _join_words(folder: str):
                 full = [got[1], *[np.zeros(len(got[0]), np.uint64)] * 4] if len(got) == 2 else [np.zeros(len(got[0]), np.uint64), *got[1:]]
                 for f, g in zip(facts, full, strict=True):
                     f.append(g.astype(np.uint64))
-            word, *facts = summed(np.concatenate(word), *map(np.concatenate, facts))
+            none = np.zeros(0, np.uint64)
+            word, *facts = summed(np.concatenate([none, *word]), *(np.concatenate([none, *f]) for f in facts))
             store(folder, f"words-{b}", [word, *map(smallest, facts)])
             k = facts[1]
             yield rows([(b, pack([np.array([np.count_nonzero(k == i) for i in (1, 2, 3, 4)] + [np.count_nonzero(k >= 3)], np.uint64)]))])
@@ -260,35 +264,32 @@ class Reader:
     def __init__(self, model: Model):
         self.model, self.files = model, {}
 
-    def _file(self, name: str) -> list[np.ndarray] | None:
+    def _file(self, name: str) -> list[np.ndarray]:
         if name not in self.files:
-            try:
-                self.files[name] = mapped(self.model.folder, name)
-            except FileNotFoundError:
-                self.files[name] = None  # a bucket without entries has no file
+            self.files[name] = mapped(self.model.folder, name)
         return self.files[name]
 
     def words(self, word: np.ndarray) -> np.ndarray:
         """c, k, n1, n2, n3 of each distinct word; zeros for unseen ones."""
         out = np.zeros((5, len(word)), np.float64)
         n = self.model.word_buckets
-        for b, at in split((mix64(word) % np.uint64(n)).astype(np.int64), n):
-            if got := self._file(f"words-{b}"):
-                place, known = find(got[0], word[at])
-                for row, column in zip(out, got[1:], strict=True):
-                    row[at[known]] = column[place]
+        for b, at in split((mix64(word) % np.uint64(n)).astype(np.int64)):
+            got = self._file(f"words-{b}")
+            place, known = find(got[0], word[at])
+            for row, column in zip(out, got[1:], strict=True):
+                row[at[known]] = column[place]
         return out
 
     def bigrams(self, v: np.ndarray, key: np.ndarray) -> np.ndarray:
         out = np.zeros(len(key), np.float64)
         n = self.model.bigram_buckets
-        for b, at in split(bucket_of(v, key, self.model.hot, n), n):
-            if got := self._file(f"bigrams-{b}"):
-                place, known = find(got[0], key[at])
-                count = got[1][place].astype(np.float64)
-                many = np.flatnonzero(count == 255)
-                count[many] = got[3][np.searchsorted(got[2], place[many].astype(np.uint64))]
-                out[at[known]] = count
+        for b, at in split(bucket_of(v, key, self.model.hot, n)):
+            got = self._file(f"bigrams-{b}")
+            place, known = find(got[0], key[at])
+            count = got[1][place].astype(np.float64)
+            many = np.flatnonzero(count == 255)
+            count[many] = got[3][np.searchsorted(got[2], place[many].astype(np.uint64))]
+            out[at[known]] = count
         return out
 
     def log10(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

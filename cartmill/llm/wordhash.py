@@ -1,12 +1,15 @@
 """Words of Arrow text columns as 64-bit hashes, without a Python object for any word.
 
-A text column's UTF-8 bytes are read in place. A word's hash is a polynomial in its bytes modulo 2**64, got
-from one running sum over the batch, and then mixed. Equal words have equal hashes in every batch and on
-every machine. The chance that two of n different words collide is about n*n / 2**65.
+A text column's UTF-8 bytes are read in place. The hash of a word of up to LONG bytes is a polynomial in its bytes
+modulo 2**64, got from one running sum over the batch, and then mixed. Such a polynomial is 0 for some long
+sequences whatever its base (differences in Thue-Morse order, from 1024 bytes on), so longer words are hashed
+by BLAKE2b instead. Equal words have equal hashes in every batch and on every machine. The chance that two of n
+different words collide is about n*n / 2**65.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +19,7 @@ import pyarrow as pa
 #: An odd base and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, LONG = 1 << 20, 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -96,6 +99,8 @@ def _hash(raw: np.ndarray, at: np.ndarray, first: int) -> Words:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=sums[1:])
         h = mix64((sums[ends] - sums[starts]) * powers(INVERSE, n)[starts])
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(_LOWER[raw[starts[i] : ends[i]]].tobytes(), digest_size=8).digest(), "little")
     return Words(first, len(at) - 1, h, np.diff(np.searchsorted(starts, at)))
 
 

@@ -560,7 +560,9 @@ def near(seed, n=60):
 
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_join_finds_all_links(spark, seed, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SAMPLE", (16, 2, 1)[seed])
+    monkeypatch.setattr(ngram_join, "LEAST_SLOTS", (1 << 16, 256, 16)[seed])  # from hardly any shared slots to hardly any others
+    monkeypatch.setattr(ngram_join, "SLOTS", (4, 1, 0)[seed])
+    monkeypatch.setattr(ngram_join, "SHINGLES_PER_BUCKET", (4_000_000, 900, 4_000_000)[seed])
     rows = near(seed, 120)
     df = spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in rows], DDL).repartition(4)
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.join_report(df).collect())
@@ -568,6 +570,49 @@ def test_join_finds_all_links(spark, seed, monkeypatch):
     assert len({c for _, _, c in got}) < len(got)
 
 
+def test_join_of_near_copies_that_mostly_stay_apart(spark):
+    rnd = random.Random(9)
+    base = [f"b{i}" for i in range(90)]
+    rows = []
+    for i in range(160):
+        v = list(base)
+        for _ in range(rnd.choice((1, 2, 3, 4))):
+            v[rnd.randrange(len(v))] = f"own{rnd.randrange(400)}"
+        rows.append((i, " ".join(v[: rnd.choice((90, 90, 60))])))
+    df = spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in rows], DDL).repartition(4)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.join_report(df).collect())
+    assert got == links(rows)
+    assert 20 < len({c for _, _, c in got}) < 150
+
+
+def test_parity_never_drops_a_link():
+    """What differs between the parity bits of two sets is at most their symmetric difference."""
+    rnd = np.random.default_rng(6)
+    for n in (3, 40, 700, 9000):
+        a = rnd.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.unique(np.concatenate([a[n // 9 :], rnd.integers(0, 1 << 63, n // 9).astype(np.uint64)]))
+        bits = [np.bincount(((wordhash.mix64(x) >> np.uint64(32)) % np.uint64(1024)).astype(np.int64), minlength=1024) & 1 for x in (np.unique(a), b)]
+        assert np.count_nonzero(bits[0] != bits[1]) <= len(np.setxor1d(a, b))
+
+
+def thue_morse(n):
+    """Two words whose polynomial hashes modulo 2**64 are equal, whatever the odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_long_words_do_not_collide(spark):
+    for n in (32, 64, 65, 1024, 2048):
+        (w,) = wordhash.chunks(pa.array([" ".join(thue_morse(n)).upper() + " " + " ".join(thue_morse(n))]))
+        a, b, c, d = w.hashes.tolist()
+        assert a == c != b == d
+    a, b = thue_morse(2048)
+    rows = [(1, a), (2, b), (3, a), (4, "w" * 2_000_000), (5, "w" * 2_000_000 + "x"), (6, "some words " * 200_000), (7, "some words " * 200_001)]
+    df = spark.createDataFrame([(i, t, None, None, None, None, None, None) for i, t in rows], DDL)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_report(df).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1), 4: (1, 4), 5: (1, 5), 6: (2, 6), 7: (2, 6)}
+
+
 def test_join_of_odd_documents(docs, rows, empty):
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in ngram_join.join_report(docs).collect())
     assert got == links(rows)
@@ -581,7 +626,7 @@ def test_prefixes_share_enough():
         extra = rnd.integers(500, 1000, 12).astype(np.uint64)
         a, b = np.unique(np.concatenate([common, extra[: rnd.integers(0, 6)]])), np.unique(np.concatenate([common, extra[6 : 6 + rnd.integers(0, 6)]]))
         both, every = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-        f = lambda x: (x % np.uint64(7)).astype(np.int64) * 16
+        f = lambda x: (x % np.uint64(7)).astype(np.int64) * 16 + 2
         (pa_, ea), (pb, eb) = ngram_join.prefix(a, f(a)), ngram_join.prefix(b, f(b))
         if 100 * both >= 80 * every:
             assert len(np.intersect1d(pa_, pb)) >= min(ea, eb)
