@@ -1,15 +1,17 @@
 """Language identification by unigram piece models that sum over all segmentations of a word.
 
-The pieces come from a fixed public vocabulary: its pieces of letters only, in lower case, up to MAX_PIECE
-letters. For each language, expectation-maximisation estimates the pieces' probabilities from a bounded
-sample. A word's probability is the sum over all its segmentations, by the forward algorithm, for all
-languages and many words at once. Words are independent; a text's language has the greatest posterior.
+The pieces come from a fixed public vocabulary: all its pieces of letters only, in lower case. For each language,
+expectation-maximisation estimates the pieces' probabilities from a bounded sample. A word (a run of letters of any
+length) has as its probability the sum over all its segmentations, by the forward algorithm, for all languages and
+many words at once; only the last columns are kept, rescaled as they shrink. Words are independent; a text's
+language has the greatest posterior.
 
-The sample: at most about DOCS_PER_LANGUAGE training documents of each language (and DOCS in all), chosen by a
-hash of doc_id; whole texts. Everything else covers all data.
+The sample: about DOCS_PER_LANGUAGE training documents of each language (DOCS in all, and never more than twice that,
+also where ids repeat), chosen by a hash; whole texts, of whose longer words the model learns from pieces of FIT_WORD
+letters. Everything else covers all data.
 
 Cases: null text, and text without a letter, is `und` with score 0. Letters that no piece has count as one
-unknown letter. Runs of letters longer than MAX_WORD are cut there. With no labelled document all is `und`.
+unknown letter. With no labelled document all is `und`. Columns named lang_pred or score are replaced by `identify`.
 Equal rows are rows each; an empty table gives no rows. lang, source and doc_id are never inputs of a prediction.
 """
 
@@ -27,10 +29,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOCABULARY = "piece_bpe_32k.model"
-MAX_PIECE, MAX_WORD = 8, 32
+FIT_WORD = 32
 DOCS_PER_LANGUAGE, DOCS = 400, 20_000
 ROUNDS, SMOOTHING = 4, 0.05
-MEMO_WORDS = 300_000
+MEMO_WORDS, MEMO_LETTERS = 300_000, 48
+LATTICE_LETTERS = 200_000
 UND = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -41,17 +44,22 @@ def pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {model.id_to_piece(i).replace("▁", "").lower() for i in range(model.get_piece_size())}
-    return sorted((p for p in found if p.isalpha() and len(p) <= MAX_PIECE), key=lambda p: (len(p), p))
+    return sorted(filter(str.isalpha, found), key=lambda p: (len(p), p))
 
 
 def letters(text: str | None) -> list[str]:
-    """The runs of letters of a text in lower case."""
-    found = WORD.findall((text or "").lower())
-    return [w for w in found if w.isalpha()]
+    """The runs of letters of a text in lower case. What counts as a digit of some kind (², ½) parts them like any other sign."""
+    out = []
+    for w in WORD.findall((text or "").lower()):
+        if w.isalpha():
+            out.append(w)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in w).split()
+    return out
 
 
 def parts(words: list[str]) -> list[str]:
-    return [w[i : i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)]
+    return [w[i : i + FIT_WORD] for w in words for i in range(0, len(w), FIT_WORD)]
 
 
 class Lattice:
@@ -61,8 +69,9 @@ class Lattice:
 
     def __init__(self, vocabulary: list[str]):
         self.size = len(vocabulary) + 2
+        self.longest = max(map(len, vocabulary), default=1)
         self.keys, self.ids = [], []
-        for n in range(1, MAX_PIECE + 1):
+        for n in range(1, self.longest + 1):
             at = [i + 1 for i, p in enumerate(vocabulary) if len(p) == n]
             key = self._hash(np.array([[ord(c) for c in vocabulary[i - 1]] for i in at], np.uint64).reshape(len(at), n))
             order = np.argsort(key)
@@ -83,10 +92,10 @@ class Lattice:
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         begin = np.cumsum(length) - length
         left = np.repeat(begin + length, length) - np.arange(len(codes))  # letters from here to the word's end
-        ids = np.zeros((MAX_PIECE, len(codes)), np.int32)
+        ids = np.zeros((self.longest, len(codes)), np.int32)
         with np.errstate(over="ignore"):
             key = np.zeros(len(codes), np.uint64)
-            for n in range(1, MAX_PIECE + 1):
+            for n in range(1, self.longest + 1):
                 at = np.flatnonzero(left >= n)
                 key[at] = (key[at] + codes[at + n - 1] + np.uint64(1)) * self.BASE
                 if len(self.keys[n - 1]):
@@ -103,27 +112,64 @@ def forward(lattice: tuple, p: np.ndarray) -> np.ndarray:
     alpha[:, 0] = 1
     for j in range(1, alpha.shape[1]):
         n = int(np.searchsorted(-length, -j, "right"))
-        for k in range(1, min(j, MAX_PIECE) + 1):
+        for k in range(1, min(j, len(ids)) + 1):
             piece = ids[k - 1, begin[:n] + j - k]
-            alpha[:n, j] += alpha[:n, j - k] * p[piece]
+            hit = np.flatnonzero(piece)
+            alpha[hit, j] += alpha[hit, j - k] * p[piece[hit]]
     return alpha
 
 
+def log_forward(lattice: tuple, p: np.ndarray) -> np.ndarray:
+    """The logarithm of all ways to make each word, by language, for words of any length. Words in the lattice's order."""
+    _, length, begin, ids = lattice
+    k_most = len(ids)
+    ring = np.zeros((k_most, len(length), p.shape[1]))  # the last columns of alpha, each word's and language's divided by exp(scale)
+    ring[0] = 1
+    scale, out = np.zeros((len(length), p.shape[1])), np.zeros((len(length), p.shape[1]))
+    n = len(length)
+    for j in range(1, int(length[0]) + 1 if n else 0):
+        ks = np.arange(1, min(j, k_most) + 1)
+        if n > 8:
+            new = np.zeros((n, p.shape[1]))
+            for k in ks.tolist():
+                piece = ids[k - 1, begin[:n] + j - k]
+                hit = np.flatnonzero(piece)
+                if len(hit) == n:
+                    new += ring[(j - k) % k_most, :n] * p[piece]
+                elif len(hit):
+                    new[hit] += ring[(j - k) % k_most, hit] * p[piece[hit]]
+        else:
+            new = (ring[(j - ks) % k_most, :n] * p[ids[ks[:, None] - 1, begin[None, :n] + j - ks[:, None]]]).sum(0)
+        ring[j % k_most, :n] = new
+        on = int(np.searchsorted(-length, -(j + 1), "right"))
+        out[on:n] = np.log(new[on:]) + scale[on:n]
+        n = on
+        if j % 8 == 0 and n:
+            top = ring[:, :n].max(axis=0)
+            ring[:, :n] /= top
+            scale[:n] += np.log(top)
+    return out
+
+
 def expected(lattice: tuple, p: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Expected counts of each piece in each language, words weighing as given."""
     _, length, begin, ids = lattice
     alpha = forward(lattice, p)
     top = alpha.shape[1] - 1
-    beta = np.zeros((len(length), top + 1 + MAX_PIECE, p.shape[1]))
+    beta = np.zeros((len(length), top + 1 + len(ids), p.shape[1]))
     beta[np.arange(len(length)), length] = 1
     total = np.maximum(alpha[np.arange(len(length)), length], 1e-300)
     out = np.zeros_like(p)
     for j in range(top - 1, -1, -1):
-        for k in range(1, min(MAX_PIECE, top - j) + 1):
+        for k in range(1, min(len(ids), top - j) + 1):
             m = int(np.searchsorted(-length, -(j + k), "right"))
             piece = ids[k - 1, begin[:m] + j]
-            beta[:m, j] += beta[:m, j + k] * p[piece]
-            share = alpha[:m, j] * p[piece] * beta[:m, j + k] / total[:m] * weight[:m]
+            hit = np.flatnonzero(piece)
+            if not len(hit):
+                continue
+            piece = piece[hit]
+            beta[hit, j] += beta[hit, j + k] * p[piece]
+            share = alpha[hit, j] * p[piece] * beta[hit, j + k] / total[hit] * weight[hit]
             for lang in range(p.shape[1]):
                 out[:, lang] += np.bincount(piece, share[:, lang], len(p))
     out[0] = 0
@@ -170,22 +216,23 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.logs = np.zeros((1024, len(model.languages)))
 
+    def logs_of(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of distinct words, by language."""
+        out, first = np.zeros((len(words), self.logs.shape[1])), 0
+        ends = np.cumsum([len(w) for w in words])
+        while first < len(words):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + LATTICE_LETTERS, "right")))
+            x = self.lattice.of(words[first:last])
+            out[first + x[0]] = log_forward(x, self.model.p)
+            first = last
+        return out
+
     def add(self, words: list[str]) -> None:
-        need = len(self.known) + len(words)
+        at, need = len(self.known), len(self.known) + len(words)
         if need > len(self.logs):
             self.logs = np.concatenate([self.logs, np.zeros((max(need - len(self.logs), len(self.logs)), self.logs.shape[1]))])
-        for i in range(0, len(words), 10_000):
-            some = words[i : i + 10_000]
-            cut = [parts([w]) for w in some]
-            flat = [x for c in cut for x in c]
-            x = self.lattice.of(flat)
-            alpha = forward(x, self.model.p)
-            logs = np.empty((len(flat), self.logs.shape[1]))
-            logs[x[0]] = np.log(np.maximum(alpha[np.arange(len(flat)), x[1]], 1e-300))
-            first = np.cumsum([0, *map(len, cut[:-1])])
-            at = len(self.known)
-            self.logs[at : at + len(some)] = np.add.reduceat(logs, first)
-            self.known.update(zip(some, range(at, at + len(some)), strict=True))
+        self.logs[at:need] = self.logs_of(words)
+        self.known.update(zip(words, range(at, need), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.languages:
@@ -195,14 +242,20 @@ class Scorer:
             self.known = {}
         known = self.known
         new = {w for ws in words for w in ws if w not in known}
+        long = sorted(w for w in new if len(w) > MEMO_LETTERS)  # not remembered, so that the memo is bounded in bytes
         if new:
-            self.add(sorted(new))
+            self.add(sorted(new.difference(long)))
+        apart = dict(zip(long, self.logs_of(long), strict=True))
         out = []
         for ws in words:
             if not ws:
                 out.append((UND, 0.0))
                 continue
-            total = self.logs[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0) + self.model.prior
+            total = self.model.prior.copy()
+            if apart:
+                total += sum((apart[w] for w in ws if w in apart), np.zeros(len(total)))
+                ws = [w for w in ws if w not in apart]
+            total += self.logs[np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
             best = int(np.argmax(total))
             out.append((self.model.languages[best], float(1 / np.exp(total - total[best]).sum())))
         return out
@@ -221,13 +274,14 @@ def train(docs: DataFrame, path: str) -> Model:
     bound = min(DOCS_PER_LANGUAGE, max(1, DOCS // len(shares)))
     span = 1 << 40
     limits = F.create_map(*[x for lang, n in shares.items() for x in (F.lit(lang), F.lit(min(span, span * bound // n)).cast("long"))])
-    chosen = labelled.filter(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(span)) < limits[F.col("lang")]).select("lang", "text")
+    drawn = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(span))
+    chosen = labelled.filter(drawn < limits[F.col("lang")]).orderBy(drawn, F.xxhash64("text"), "lang").limit(2 * DOCS).select("lang", "text")
     return fit([tuple(r) for r in chosen.collect()], pieces(path), shares)
 
 
-
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds lang_pred and score to the given columns, which must not have such names."""
+    """Adds lang_pred and score to the given columns; columns with such names go."""
+    docs = docs.drop("lang_pred", "score")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     names = docs.columns
