@@ -1,17 +1,22 @@
 """Personal data by weak supervision.
 
 Base spans (email, ip, card, phone) follow fixed patterns and always stay. Beside them stand candidates of looser
-patterns: spelled-out addresses, IPv6 whole or with ::, phone numbers without a plus, keys and tokens. Labelers vote on
-every span, base or candidate: yes, no or nothing. They are of three kinds:
-- regex: how well formed the span is; checksum, digits, groups, entropy
+patterns: spelled-out addresses, IPv6 whole or with ::, phone numbers without a plus, card numbers that the base
+pattern swallows with their neighbours, keys and tokens; and what looks alike but isn't one: card-like numbers that
+fail the checksum, dotted numbers of other lengths, dates and codes, names with an @. Labelers vote on every span, base
+or candidate: yes, no or nothing. They are of three kinds:
+- regex: how well formed the span is, with its checksum; digits, groups, entropy
 - gazetteer: known domain endings, card issuers, dialling codes, reserved networks, key prefixes
 - context: telling words before the span, or code and tables around it
 
-Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and each
-pattern's probability of being personal data. With those as soft labels a logistic span classifier is trained
-on the spans' features. A candidate that doesn't overlap a base span and that the classifier gives THRESHOLD
-or more is added. Counts of patterns are all that reaches the driver: there are at most a few
-thousand, whatever the input; all documents count.
+Expectation-maximisation over the counts of vote patterns estimates, for each labeler, how often it says yes to
+what is personal data and no to what isn't (after Dawid and Skene, with priors that trust a checksum or a full form more
+than the others; a labeler that says yes to all tells nothing, and comes out so), and each pattern's probability. With
+those as soft labels a logistic span classifier is trained on the votes and on features of the span itself: length,
+share of digits, distinct characters, and the characters beside it. A candidate that doesn't overlap a base span or an
+added one before it (by start, then kind), and that the classifier gives THRESHOLD or more, is added. Counts of
+patterns are all that reaches the driver: there are a few hundred as a rule, and never more than the ways to vote times
+the features' ways, whatever the input; all documents count.
 
 Cases: null text is empty. Texts of any length are searched whole, in time linear in their length. Equal rows are rows each.
 An empty table gives no rows, and a model that adds nothing.
@@ -45,9 +50,10 @@ GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}"
 KEYS = r"eyJ[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]*+){1,4}(?<![.])|(?:AKIA|ASIA)[A-Z0-9]{16}"
 KEY = re.compile(KEYS)
 LOOSE = {
-    "email": re.compile(r"\b[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z]{2,24}\b", re.IGNORECASE),
-    "ip": re.compile(rf"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![0-9A-Fa-f:])|(?<![0-9A-Za-z_:.])(?:{GROUPS}::(?:{GROUPS})?|::{GROUPS})(?![0-9A-Za-z_:])"),
-    "phone": re.compile(r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?![A-Za-z0-9.-])|\b[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(] ?dot ?[\])] ?|\.)[A-Za-z]{2,24}\b", re.IGNORECASE),
+    "ip": re.compile(rf"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{{1,4}}:){{7}}[0-9A-Fa-f]{{1,4}}(?![0-9A-Fa-f:])|(?<![0-9A-Za-z_:.])(?:{GROUPS}::(?:{GROUPS})?|::{GROUPS})(?![0-9A-Za-z_:])|(?<![0-9A-Za-z.])[0-9]{{1,4}}(?:\.[0-9]{{1,4}}){{2,5}}(?!\.?[0-9A-Za-z])"),
+    "card": re.compile(r"(?<![0-9])(?:(?:[0-9]{4}[ -]?){3}[0-9]{4}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9+().-])(?:\+?[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+().-])[0-9]{2,4}(?:[ ./-][0-9]{2,4}){2,3}(?![0-9])"),
     "secret": re.compile(rf"(?<![A-Za-z0-9_+/-])(?:{KEYS}|[A-Za-z0-9_+/-]{{24,}}+={{0,2}}+)(?![A-Za-z0-9_+/=-])"),
 }
 
@@ -62,6 +68,7 @@ TELLING = {
     "phone": re.compile(r"phone|tel|call|mobile|cell|fax|whatsapp|ring|tel[eé]fono|handy", re.IGNORECASE),
     "secret": re.compile(r"token|secret|passw|api|key|credential|bearer", re.IGNORECASE),
 }
+DATE = re.compile(r"(?:1[89]|20)[0-9]{2}[ ./-][0-9]{1,2}[ ./-][0-9]{1,2}|[0-9]{1,2}[ ./-][0-9]{1,2}[ ./-](?:1[89]|20)[0-9]{2}")
 ASSIGN = re.compile(r"[=:]\s*[\"']?$")
 CODE = re.compile(r"(?:version|ver\.?|release|isbn|issn|doi|page|pp\.|§|build)\s*[=:]?\s*$", re.IGNORECASE)
 
@@ -118,11 +125,11 @@ def loose_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     low = text.lower() if "(" in text or "[" in text else ""
     has_digit = DIGIT.search(text) is not None
     for kind, pattern in LOOSE.items():
-        if kind == "email" and "at)" not in low and "at]" not in low and "at ]" not in low and "at )" not in low:
+        if kind == "email" and "@" not in text and "at)" not in low and "at]" not in low and "at ]" not in low and "at )" not in low:
             continue
-        if kind == "ip" and "::" not in text and text.count(":") < 7:
+        if kind == "ip" and "::" not in text and text.count(":") < 7 and not (has_digit and text.count(".") > 1):
             continue
-        if kind == "phone" and not has_digit or kind == "secret" and not has_digit and not any(x in text for x in ("eyJ", "AKIA", "ASIA")):
+        if kind in ("phone", "card") and not has_digit or kind == "secret" and not has_digit and not any(x in text for x in ("eyJ", "AKIA", "ASIA")):
             continue
         k = KINDS.index(kind)
         for m in pattern.finditer(text):
@@ -165,12 +172,13 @@ def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
     form = shape = known = reserved = 0
     if name == "email":
         domain = re.split(r"@|at[\])]? ?", span)[-1]
-        form = 1 if "@" in span and not domain.startswith("-") and ".." not in span else -1 if span[:1] in ".-%" else 0
+        form = -1 if "@" in span and "." not in domain or span[:1] in ".-%" else 1 if "@" in span and not domain.startswith("-") and ".." not in span else 0
         shape = 1 if any(c.isalpha() for c in span) else -1
         known = 1 if domain.rsplit(".", 1)[-1].lower() in ENDINGS else -1 if domain.rsplit(".", 1)[-1].isdigit() else 0
     elif name == "ip":
-        form = -1 if "::" in span and not digits else 1  # a::b is rather a name in code
         parts = span.split(".") if "." in span else []
+        # a::b is rather a name in code; other dotted numbers are versions, sections, dates
+        form = -1 if "::" in span and not digits or parts and not (len(parts) == 4 and all(len(x.lstrip("0")) <= 3 and int(x[-4:]) <= 255 for x in parts)) else 1
         shape = -1 if parts and all(len(p) == 1 for p in parts) else 1
         reserved = -1 if parts and parts[0] in ("0", "255") or span == "::1" else 0
         known = 1 if parts and not any(len(p) > 1 and p[0] == "0" for p in parts) else 0
@@ -179,7 +187,7 @@ def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
         shape = 1 if len(digits) in (15, 16) else -1 if len(set(digits)) < 3 else 0
         known = 1 if digits[:1] in "4" or digits[:2] in ("34", "37", "51", "52", "53", "54", "55", "65") or digits[:4] == "6011" else 0
     elif name == "phone":
-        form = 1 if span[:1] == "+" else 0
+        form = 1 if span[:1] == "+" else -1 if DATE.fullmatch(span) else 0
         shape = 1 if len(digits) in (10, 11, 12) else -1
         known = 1 if span[:1] == "+" and any(digits[:n] in DIALLING for n in (1, 2)) else 0
         reserved = -1 if len(set(digits)) < 3 else 0
@@ -195,27 +203,47 @@ def votes(text: str, start: int, kind: int, end: int) -> tuple[int, ...]:
     return form, shape, known, reserved, words, assign, code
 
 
-def pattern_of(kind: int, base: bool, given: tuple[int, ...]) -> int:
-    """Kind, base or not, and votes as one number."""
+#: The span's own features, each as one of so many values: length, share of digits, distinct characters, and the characters before and after.
+OWN = (4, 4, 3, 4, 4)
+
+
+def _beside(c: str) -> int:
+    return 0 if not c or c.isspace() else 1 if c.isalnum() else 2 if c in "\"'=:<([" else 3
+
+
+def own_features(text: str, start: int, end: int) -> tuple[int, ...]:
+    span = text[start:end]
+    digits, distinct = len(digits_of(span)) / len(span), len(set(span))
+    length = sum(len(span) > n for n in (12, 24, 48))
+    return length, sum(digits > x for x in (0, 0.5, 0.95)), sum(distinct > n for n in (5, 11)), _beside(text[start - 1 : start]), _beside(text[end : end + 1])
+
+
+def pattern_of(kind: int, base: bool, given: tuple[int, ...], own: tuple[int, ...] = (0,) * len(OWN)) -> int:
+    """Kind, base or not, votes and features as one number."""
     out = kind * 2 + base
     for v in given:
         out = out * 3 + v + 1
+    for x, n in zip(own, OWN, strict=True):
+        out = out * n + x
     return out
 
 
-def unpack_pattern(pattern: int) -> tuple[int, bool, tuple[int, ...]]:
-    given = []
+def unpack_pattern(pattern: int) -> tuple[int, bool, tuple[int, ...], tuple[int, ...]]:
+    own, given = [], []
+    for n in reversed(OWN):
+        pattern, x = divmod(pattern, n)
+        own.append(x)
     for _ in LABELERS:
         pattern, v = divmod(pattern, 3)
         given.append(v - 1)
-    return pattern // 2, bool(pattern % 2), tuple(reversed(given))
+    return pattern // 2, bool(pattern % 2), tuple(reversed(given)), tuple(reversed(own))
 
 
 @dataclass(frozen=True)
 class Model:
-    """Each labeler's reliability by kind, the prior by kind, and the span classifier's probability of each pattern."""
+    """Each labeler's reliability by kind (its yes to what is personal data, its no to what isn't), the prior by kind, and the span classifier."""
 
-    reliability: dict[str, list[float]]
+    reliability: dict[str, list[tuple[float, float]]]
     prior: dict[str, float]
     weights: np.ndarray
 
@@ -224,45 +252,73 @@ class Model:
 
 
 def features(pattern: int) -> np.ndarray:
-    """Intercept, kinds, base, and each labeler's yes and no, once for all kinds and once for keys."""
-    kind, base, given = unpack_pattern(pattern)
-    x = np.zeros(1 + len(KINDS) + 1 + 4 * len(LABELERS))
-    x[0], x[1 + kind], x[1 + len(KINDS)] = 1, 1, base
+    """By kind: an intercept, each labeler's yes and no, and the span's own features; and whether the span is a base one."""
+    kind, base, given, own = unpack_pattern(pattern)
+    each = 1 + 2 * len(LABELERS) + sum(OWN)
+    x = np.zeros(1 + each * len(KINDS))
+    at = 1 + each * kind
+    x[0], x[at] = base, 1
     for i, v in enumerate(given):
-        for at in ([0, 2 * len(LABELERS)] if KINDS[kind] == "secret" else [0]):
-            x[2 + len(KINDS) + at + 2 * i + (v < 0)] = v != 0
+        x[at + 1 + 2 * i + (v < 0)] = v != 0
+    at += 1 + 2 * len(LABELERS)
+    for value, n in zip(own, OWN, strict=True):
+        x[at + value] = 1
+        at += n
     return x
 
 
-def aggregate(counts: dict[int, int], rounds: int = 30) -> tuple[dict[int, float], dict[str, list[float]], dict[str, float]]:
-    """Expectation-maximisation, kind by kind: each pattern's probability, reliabilities and priors.
+#: What is known of labelers beforehand: how often each is right, and how much that counts, as a share of the kind's spans.
+PRIOR, FORM_PRIOR = (0.7, 0.02), (0.99, 0.5)
 
-    A labeler that votes is right with its reliability, whatever the truth. Priors and reliabilities start from
-    0.6 and 0.8 and are smoothed, so that a kind with few spans stays near them.
+
+def posterior(v: np.ndarray, hit: np.ndarray, clear: np.ndarray, yes: float) -> np.ndarray:
+    """The probability of personal data, given rows of votes, each labeler's reliabilities and the prior."""
+    odds = np.log(yes / (1 - yes)) + (v > 0) @ np.log(hit / (1 - clear)) + (v < 0) @ np.log((1 - hit) / clear)
+    return 1 / (1 + np.exp(-odds))
+
+
+def aggregate(counts: dict[int, int], rounds: int = 50) -> tuple[dict[int, float], dict[str, list[tuple[float, float]]], dict[str, float]]:
+    """Expectation-maximisation, kind by kind: each pattern's probability, reliabilities and priors. Only votes count here.
+
+    Where a labeler says nothing it tells nothing. A kind with few spans stays near what is known beforehand.
     """
     truth, reliability, prior = {}, {}, {}
+    belief = np.array([FORM_PRIOR if name == "regex_form" else PRIOR for name in LABELERS])
     for k, name in enumerate(KINDS):
         own = [(p, n, np.array(unpack_pattern(p)[2])) for p, n in sorted(counts.items()) if unpack_pattern(p)[0] == k]
-        right, yes = np.full(len(LABELERS), 0.8), 0.6
+        hit, clear, yes = belief[:, 0].copy(), belief[:, 0].copy(), 0.6
         if own:
             v, n = np.stack([x[2] for x in own]), np.array([x[1] for x in own], float)
             n = n / n.sum() * min(n.sum(), 10_000)
+            weight = belief[:, 1] * n.sum() + 10
             for _ in range(rounds):
-                odds = np.log(yes / (1 - yes)) + v @ np.log(right / (1 - right))
-                q = 1 / (1 + np.exp(-odds))
-                hit = ((v > 0) * q[:, None] + (v < 0) * (1 - q[:, None])) * n[:, None]
-                right = np.clip((hit.sum(0) + 16) / ((v != 0) * n[:, None]).sum(0).__add__(20), 0.55, 0.95)
+                q = posterior(v, hit, clear, yes)
+                is_one, is_none = (q * n)[:, None], ((1 - q) * n)[:, None]
+                hit = np.clip(((v > 0) * is_one).sum(0) + belief[:, 0] * weight, 0, None) / (((v != 0) * is_one).sum(0) + weight)
+                clear = np.clip(((v < 0) * is_none).sum(0) + belief[:, 0] * weight, 0, None) / (((v != 0) * is_none).sum(0) + weight)
+                hit, clear = np.clip(hit, 0.01, 0.99), np.clip(clear, 0.01, 0.99)
                 yes = float(np.clip((q @ n + 6) / (n.sum() + 10), 0.05, 0.95))
             truth |= {p: float(x) for (p, _, _), x in zip(own, q, strict=True)}
-        reliability[name], prior[name] = right.tolist(), yes
+        reliability[name], prior[name] = list(zip(hit.tolist(), clear.tolist(), strict=True)), yes
     return truth, reliability, prior
 
 
-def fit(counts: dict[int, int], rounds: int = 400, rate: float = 0.5) -> Model:
-    """The classifier: logistic regression on soft labels, each pattern weighing by the logarithm of its count."""
+def fit(counts: dict[int, int], rounds: int = 600, rate: float = 0.5) -> Model:
+    """The classifier: logistic regression on soft labels, each pattern weighing by the logarithm of its count.
+
+    Each pattern stands once more with its form vote turned, so that the classifier knows what a wrong form means
+    also where the documents have none.
+    """
     truth, reliability, prior = aggregate(counts)
-    w = np.zeros(2 + len(KINDS) + 4 * len(LABELERS))
-    w[0] = -2.0
+    counts = dict(counts)
+    for p in sorted(truth):
+        kind, _, given, own = unpack_pattern(p)
+        turned = (-given[0], *given[1:])
+        other = pattern_of(kind, False, turned, own)
+        if given[0] and other not in truth:
+            hit, clear = map(np.array, zip(*reliability[KINDS[kind]], strict=True))
+            truth[other], counts[other] = float(posterior(np.array([turned]), hit, clear, prior[KINDS[kind]])[0]), 1
+    w = np.zeros(1 + len(KINDS) * (1 + 2 * len(LABELERS) + sum(OWN)))
     if truth:
         known = sorted(truth)
         x, y = np.stack([features(p) for p in known]), np.array([truth[p] for p in known])
@@ -281,7 +337,7 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             for spans, is_base in ((base, True), (loose_spans(text, base), False)):
                 for start, kind, end in spans:
-                    p = pattern_of(kind, is_base, votes(text, start, kind, end))
+                    p = pattern_of(kind, is_base, votes(text, start, kind, end), own_features(text, start, end))
                     counts[p] = counts.get(p, 0) + 1
     yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
 
@@ -301,7 +357,7 @@ def train(docs: DataFrame) -> Model:
 def added_spans(text: str, base: list[tuple[int, int, int]], model: Model, memo: dict[int, float]) -> list[tuple[int, int, int]]:
     out, free = [], 0
     for start, kind, end in loose_spans(text, base):
-        p = pattern_of(kind, False, votes(text, start, kind, end))
+        p = pattern_of(kind, False, votes(text, start, kind, end), own_features(text, start, end))
         if p not in memo:
             memo[p] = model.probability(p)
         if memo[p] >= THRESHOLD and start >= free:
