@@ -1,42 +1,46 @@
 """Benchmark decontamination: SimHash over item-sized windows, multi-index Hamming blocks, exact verification.
 
-Words are runs of letters and digits in lower case; a shingle is five of them, known by a 64-bit hash. A
-window and an item are bags of shingles, each weighing as often as it occurs; their similarity is the sum of
-lesser weights over the sum of greater ones. A document is contaminated by an item if a window of the item's
-size, or what of it lies inside the document, has similarity 0.8 or more.
+Words are runs of letters and digits in lower case; a shingle is five of them, known by a 64-bit hash; a text of
+fewer words is one shingle, its whole sequence. A window and an item are bags of shingles, each weighing as often as
+it occurs; their similarity is the sum of lesser weights over the sum of greater ones. A document is contaminated by
+an item if a window of the item's size, or what of it lies inside the document, has similarity 0.8 or more.
 
 1. Anchors: places of a document whose shingle some item has. A window without one has similarity 0. An anchor
    that is an item's shingle number o aligns a window of that item's size.
 2. Each distinct window gets a 64-bit SimHash of its shingles by weight.
-3. Fingerprints are cut into RADIUS + 1 blocks. Two within RADIUS bits agree in one block at least, so an
-   equality join on item size, block and value finds every pair within RADIUS. Windows of similarity 0.8
-   differ in 10 bits of 64 on average with a deviation of 3; RADIUS leaves more than three deviations.
+3. Multi-index search: fingerprints are cut into BLOCKS blocks. Two within RADIUS bits differ in at most
+   RADIUS // BLOCKS bits of one block at least. So each item is entered under all values that near to its own, block
+   by block, each window under its own value, and an equality join on item size, block and value finds every pair within
+   RADIUS, while a random pair of one size meets with a chance of about a half. Windows of similarity 0.8 differ in
+   12 bits at most on average, with a deviation of about 3: RADIUS leaves nearly four deviations (README has what
+   is measured).
 4. Candidates are verified exactly.
 
-All steps are DataFrame expressions. What is broadcast (the items' shingles, the anchored documents' keys)
-is counted first; beyond BROADCAST_ROWS the same joins shuffle.
+All steps are DataFrame expressions. What is broadcast (the items' shingles, the anchored documents' keys, the items'
+index) is counted first; beyond BROADCAST_ROWS the same joins shuffle. Documents are known by two 64-bit hashes.
 
-Cases: null and blank texts, and texts and items of fewer than five words, match nothing. Equal rows are
-rows each. Empty tables give no rows. Documents may have any other columns; `clean` keeps them as they are.
+Cases: null and blank texts match nothing; texts and items of fewer than five words match only what has the same
+words. A document that repeats is in the report each time. Empty tables give no rows. Documents may have any other
+columns; `clean` keeps them as they are.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartmill.llm.text import shared_dir
+from cartmill.llm.text import scratch
 
-SHINGLE, PERCENT, RADIUS = 5, 80, 19
+SHINGLE, PERCENT, RADIUS, BLOCKS = 5, 80, 24, 5
+KEYS = ["__key", "__key2"]
 BROADCAST_ROWS = 1_000_000
 
 
 def shingle_hashes(text: Column) -> Column:
-    """A hash of each window of five words, in text order; null for fewer words."""
+    """A hash of each window of five words, in text order; of all words where there are fewer; null without words."""
     bare = F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return window_hashes(F.split(bare, " "))
+    few = F.when(bare != "", F.array(F.xxhash64(F.lit(SHINGLE), bare)))
+    return F.coalesce(window_hashes(F.split(bare, " ")), few)
 
 
 def window_hashes(ws: Column, size: int = SHINGLE) -> Column:
@@ -62,11 +66,19 @@ def simhash(hashes: Column) -> Column:
     return out
 
 
-def blocks(fingerprint: Column, radius: int = RADIUS) -> Column:
-    """(number, value) of each of radius + 1 blocks of the 64 bits, as even as can be."""
-    n = radius + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("value")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])  # noqa: B905
+def blocks(fingerprint: Column, near: int = 0, n: int = BLOCKS) -> Column:
+    """(block, value) of each of n blocks of the 64 bits, as even as can be; with `near`, all values within that many bits."""
+    out = []
+    for i in range(n):
+        low, high = 64 * i // n, 64 * (i + 1) // n
+        value = F.shiftrightunsigned(fingerprint, low).bitwiseAND(F.lit((1 << (high - low)) - 1).cast("long"))
+        flips = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << (high - low)) - 1).cast("long")), lambda m: F.bit_count(m) <= near) if near else F.array(F.lit(0).cast("long"))
+        out.append(F.transform(flips, _entry(i, value)))
+    return F.flatten(F.array(*out))
+
+
+def _entry(i: int, value: Column):
+    return lambda m: F.struct(F.lit(i).alias("block"), value.bitwiseXOR(m).alias("value"))
 
 
 def common_weight(x: Column, y: Column) -> Column:
@@ -82,10 +94,16 @@ def _checked(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def row_keys() -> dict[str, Column]:
+    """Two hashes of doc_id and text; hashes skip nulls, so where they are counts too."""
+    given = [F.col("doc_id"), F.col("text"), F.col("doc_id").isNull(), F.col("text").isNull()]
+    return {"__key": F.xxhash64(*given), "__key2": F.xxhash64(F.lit(2), *given)}
+
+
 def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """__key, doc_id, item_id, similarity, first_word (from 0): one row a document and item, the best window's."""
+    """__key, __key2, item_id, similarity, first_word (from 0): one row a distinct document and item, the best window's."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/decontam-{uuid.uuid4().hex}"
+    folder = scratch(spark, "decontam")
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{folder}/{name}")
@@ -94,37 +112,43 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     bags = kept(items.select("item_id", shingle_hashes(F.col("text")).alias("bag")).filter("bag is not null").withColumns({"size": F.size("bag"), "item_hash": simhash(F.col("bag"))}), "items")
     known = bags.select("size", F.posexplode("bag").alias("o", "h")).distinct()
     n_known = known.count()
-    doc_key = F.xxhash64("doc_id", "text")
-    spots = docs.select(doc_key.alias("__key"), F.posexplode(shingle_hashes(F.col("text"))).alias("p", "h"))
+    given = docs.select("doc_id", "text")
+    spots = given.select(*[c.alias(k) for k, c in row_keys().items()], F.posexplode(shingle_hashes(F.col("text"))).alias("p", "h"))
     anchors = spots.join(_checked(known, n_known), "h")
-    aligned = kept(anchors.select("__key", (F.col("p") - F.col("o")).alias("at"), "size").distinct(), "windows")
-    keys = aligned.select("__key").distinct()
+    aligned = kept(anchors.select(*KEYS, (F.col("p") - F.col("o")).alias("at"), "size").distinct(), "windows")
+    keys = aligned.select(*KEYS).distinct()
     n_keys = keys.count()
-    near = docs.withColumn("__key", doc_key).select("__key", "doc_id", "text").join(_checked(keys, n_keys), "__key", "left_semi")
-    near = near.dropDuplicates(["__key"]).select("__key", "doc_id", shingle_hashes(F.col("text")).alias("all"))
+    near = given.withColumns(row_keys()).select(*KEYS, "text").join(_checked(keys, n_keys), KEYS, "left_semi")
+    near = near.dropDuplicates(KEYS).select(*KEYS, shingle_hashes(F.col("text")).alias("all"))
     first = F.greatest("at", F.lit(0))
     last = F.least(F.col("at") + F.col("size"), F.size("all"))
-    windows = near.join(aligned, "__key").filter(last > first).select("__key", "doc_id", "size", first.alias("first_word"), F.slice("all", first + 1, last - first).alias("window"))
+    windows = near.join(aligned, KEYS).filter(last > first).select(*KEYS, "size", first.alias("first_word"), F.slice("all", first + 1, last - first).alias("window"))
     printed = kept(windows.withColumn("window_hash", simhash(F.col("window"))), "printed")
-    blocked = printed.select("__key", "size", "first_word", "window_hash", F.inline(blocks(F.col("window_hash"))))
-    indexed = bags.select("item_id", "size", "item_hash", F.inline(blocks(F.col("item_hash"))))
+    blocked = printed.select(*KEYS, "size", "first_word", "window_hash", F.inline(blocks(F.col("window_hash"))))
+    index = kept(bags.select("item_id", "size", "item_hash", F.inline(blocks(F.col("item_hash"), RADIUS // BLOCKS))), "index")
     close = F.bit_count(F.col("window_hash").bitwiseXOR(F.col("item_hash"))) <= RADIUS
     same = (F.col("w.size") == F.col("i.size")) & (F.col("w.block") == F.col("i.block")) & (F.col("w.value") == F.col("i.value"))
-    n_items = bags.count()
-    found = blocked.alias("w").join(_checked(indexed, n_items * (RADIUS + 1)).alias("i"), same & close)
-    found = found.select("__key", "first_word", F.col("w.size").alias("size"), "item_id").distinct()
-    pairs = found.join(printed.select("__key", "doc_id", "first_word", "size", "window"), ["__key", "first_word", "size"]).join(_checked(bags.select("item_id", "bag"), n_known), "item_id")
+    found = blocked.alias("w").join(_checked(index, index.count()).alias("i"), same & close)
+    found = found.select(*KEYS, "first_word", F.col("w.size").alias("size"), "item_id").distinct()
+    pairs = found.join(printed.select(*KEYS, "first_word", "size", "window"), [*KEYS, "first_word", "size"]).join(_checked(bags.select("item_id", "bag"), n_known), "item_id")
     pairs = pairs.withColumn("both", common_weight(F.col("window"), F.col("bag"))).withColumn("all", F.size("window") + F.size("bag") - F.col("both"))
     true = pairs.filter(100 * F.col("both") >= PERCENT * F.col("all"))
     best = F.max(F.struct((F.col("both") / F.col("all")).alias("similarity"), (-F.col("first_word")).alias("minus")))
-    return true.groupBy("__key", "doc_id", "item_id").agg(best.alias("best")).select("__key", "doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.minus")).alias("first_word"))
+    return true.groupBy(*KEYS, "item_id").agg(best.alias("best")).select(*KEYS, "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.minus")).alias("first_word"))
+
+
+def _same_row() -> Column:
+    own = row_keys()
+    return (own["__key"] == F.col("__bad")) & (own["__key2"] == F.col("__bad2"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that no item contaminates, with all their columns."""
-    bad = matches(docs, items).select(F.col("__key").alias("__bad")).distinct()
-    return docs.join(bad, F.xxhash64("doc_id", "text") == F.col("__bad"), "left_anti")
+    bad = matches(docs, items).select(F.col("__key").alias("__bad"), F.col("__key2").alias("__bad2")).distinct()
+    return docs.join(bad, _same_row(), "left_anti")
 
 
 def match_report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return matches(docs, items).select("doc_id", "item_id", "similarity", "first_word")
+    """doc_id, item_id, similarity and first_word of every document and item that match; equal documents are each in it."""
+    found = matches(docs, items).withColumnsRenamed({"__key": "__bad", "__key2": "__bad2"})
+    return docs.select("doc_id", "text").join(found, _same_row()).select("doc_id", "item_id", "similarity", "first_word")

@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartmill.llm.text import shared_dir
+from cartmill.llm.text import delete, shared_dir
 from cartmill.llm.wordhash import powers
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -314,12 +314,6 @@ def write_store(docs: DataFrame, folder: str, chunks: str, path: str, doc: str =
     delete(spark, f"{folder}/sorted")
 
 
-def delete(spark: SparkSession, folder: str) -> None:
-    """Deletes a folder that this module wrote, in whatever store it is."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _roots(recipes: DataFrame) -> DataFrame:
     """part and the Merkle root over its documents' leaves, in order."""
 

@@ -26,7 +26,6 @@ no rows. Only doc_id and text are read. A null doc_id never names a component th
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartmill.llm.hasharrays import ROWS, by_bucket, deal, find, mapped, pack, rows, smallest, split, store, unpack
-from cartmill.llm.text import shared_dir
+from cartmill.llm.text import scratch
 from cartmill.llm.wordhash import BASE, chunks, mix64, shingles
 from cartmill.operators.graph import components
 
@@ -370,7 +369,7 @@ def may_link(m: Column, n: Column) -> Column:
 def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, sig (null if empty) and component_id of every document."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/ngramjoin-{uuid.uuid4().hex}"
+    folder = scratch(spark, "ngramjoin")
     system, path = pafs.FileSystem.from_uri(folder)
     system.create_dir(path)
     kept = lambda df, name: df.write.parquet(f"{folder}/{name}") or spark.read.parquet(f"{folder}/{name}")

@@ -22,7 +22,6 @@ no training documents, every token has probability 1/(V+1) = 1. Only doc_id and
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartmill.llm.hasharrays import ROWS, by_bucket, deal, find, mapped, pack, rows, smallest, split, store, summed, unpack
-from cartmill.llm.text import shared_dir
+from cartmill.llm.text import scratch
 from cartmill.llm.wordhash import Words, chunks, mix64
 
 #: Hashes that stand for the beginning and end of a text.
@@ -226,7 +225,7 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Counts all the given documents and stores the model in the shared folder."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/ngram-{uuid.uuid4().hex}"
+    folder = scratch(spark, "ngram")
     system, path = pafs.FileSystem.from_uri(folder)
     system.create_dir(path)
     texts = docs.select(text)

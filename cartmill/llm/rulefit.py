@@ -4,8 +4,8 @@ Boosted trees over text statistics are grown on a sample of labelled documents.
 node is a rule: a conjunction of comparisons. A logistic model with a lasso penalty gives each rule a weight,
 most of them 0. The rules that are left become one Spark column expression, so scoring runs where the text is.
 
-The sample holds about SAMPLE labelled documents at most, chosen by a hash of doc_id; everything else covers
-all data. lang, source and doc_id are never inputs of a score.
+The sample holds about SAMPLE labelled documents (never more than twice as many rows, also where ids repeat), chosen
+by a hash of doc_id; everything else covers all data. lang, source and doc_id are never inputs of a score.
 
 Cases: null and blank texts have statistics of 0. Repeated labels of a document are averaged, and count as 1
 from 0.5 on; null labels are left out. Without labels, or with labels of one class only, every score is the smoothed share of label 1.
@@ -14,14 +14,13 @@ Equal rows are rows each; an empty table gives no rows.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cartmill.llm.text import SPACES, shared_dir, words
+from cartmill.llm.text import SPACES, scratch, words
 
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE, LEAST = 24, 3, 32, 0.3, 20
@@ -218,7 +217,7 @@ def train(stats: DataFrame, labels: DataFrame) -> Model:
     n, span = known.count(), 1 << 40
     if n > SAMPLE:
         known = known.filter(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(span)) < span * SAMPLE // n)
-    rows = stats.join(known, "doc_id").select("doc_id", "y", "stats.*").orderBy(F.xxhash64("doc_id"), *STATISTICS).collect()
+    rows = stats.join(known, "doc_id").select("doc_id", "y", "stats.*").orderBy(F.xxhash64("doc_id"), *STATISTICS).limit(2 * SAMPLE).collect()
     x = np.array([[r[s] for s in STATISTICS] for r in rows], float).reshape(len(rows), len(STATISTICS))
     return fit(x, np.array([r["y"] for r in rows], float))
 
@@ -226,7 +225,7 @@ def train(stats: DataFrame, labels: DataFrame) -> Model:
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document. Statistics are computed once and written to the shared folder."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/rulefit-{uuid.uuid4().hex}"
+    path = scratch(spark, "rulefit")
     docs.select("doc_id", statistics(F.col("text")).alias("stats")).write.parquet(path)
     stats = spark.read.parquet(path)
     model = train(stats, labels)
