@@ -154,7 +154,7 @@ def ablations(entries: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> Da
 
 
 def rules_report(docs: DataFrame) -> DataFrame:
-    """The contract's columns, and the ledger's bits."""
+    """The contract's columns, the ledger's bits, and the version of the policy that decides `kept` where base doesn't fail."""
     base, v1 = POLICIES
     entries = ledger(docs)
     base_failed = ~passes(base)
@@ -168,4 +168,10 @@ def rules_report(docs: DataFrame) -> DataFrame:
         base_failed.alias("base_failed"),
         (~base_failed & passes(v1)).alias("kept"),
         "failed_bits",
+        F.lit(v1.version).alias("policy"),
     )
+
+
+def ablation_report(docs: DataFrame) -> DataFrame:
+    """What each policy keeps, and what it would keep without each of its rules."""
+    return ablations(ledger(docs))
