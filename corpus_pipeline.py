@@ -1,7 +1,7 @@
 """From raw documents to training shards: five stages, each over all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes as Parquet to the shared
-folder and reads again for the next. All but the last return the columns of documents.
+folder and reads again for the next; then it deletes what the stage read and what it wrote on the way. All but the last return the columns of documents.
 
 - language: documents without a language (no letter), or whose language the model doubts, go
 - near_duplicates: of each group of documents linked by shingle similarity, one row stays, that with the least doc_id (null last); of equal rows, one
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartmill.llm import decontam, langid, mixing, ngram_join, sharding
-from cartmill.llm.text import shared_dir, table
+from cartmill.llm.text import delete, scratch_of, shared_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SURE = 0.5
@@ -35,8 +35,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def row_key() -> Column:
-    """A hash of all columns: equal rows have the same. Hashes skip nulls, so where they are counts too."""
-    return F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS])
+    """Two hashes of all columns, 128 bits: equal rows have the same. Hashes skip nulls, so where they are counts too."""
+    given = [*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]]
+    return F.concat(F.hex(F.xxhash64(*given)), F.lit("-"), F.hex(F.xxhash64(F.lit(2), *given)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -88,6 +89,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
+        with scratch_of(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
         docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        if i:
+            delete(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
