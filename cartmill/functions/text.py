@@ -11,36 +11,47 @@ from pyspark.sql import functions as F
 from cartmill.vocabulary import BRANDS, NON_PRODUCT, STOPWORDS, UNITS, Vocabulary
 
 UNIT = "|".join(sorted(UNITS, key=lambda u: (-len(u), u)))
+# ---- fixed values: the forms of sizes in titles, which must equal those of the system whose results are matched ---
 NUMBER = r"\d+(?:[.,]\d+)?"
 MULTIPACK = rf"(?i)(?<![\w.])(\d{{1,3}})\s*[x×]\s*({NUMBER})\s*({UNIT})(?![a-z])"
 SUFFIX_PACK = rf"(?i)(?<![\w.])({NUMBER})\s*({UNIT})\s*[x×]\s*(\d{{1,3}})(?![\w.])"
 PACK_OF = r"(?i)\b(?:pack|bundle|combo|set|zestaw)\s+(?:of\s+)?(\d{1,3})\b"
 SIZE = rf"(?i)(?<![\w.])({NUMBER})\s*({UNIT})(?![a-z])"
+# ---- end of fixed values ------------------------------------------------------------------------------------------
 SIZE_TYPE = "struct<value:double,unit:string,base_unit:string,base_value:double,multipack:int>"
 
 
+HANGUL = range(0xAC00, 0xD7A4)
+
+
 @cache
-def _fold_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Letters that compatibility decomposition turns into one ASCII character each, and those that become several."""
-    plain = {"ł": "l", "Ł": "L"}
-    several = {}
-    for code in [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), 0x3000, *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
-        c = chr(code)
+def _fold_table() -> tuple[str, str, str, str]:
+    """From Unicode's compatibility decompositions without combining marks: characters that become one, and what
+    each becomes (marks, which have no partner there, go); those that become several, and `c=several|...` of them.
+    """
+    plain, several = {"ł": "l", "Ł": "L"}, {}
+    marks = []
+    for c in (chr(i) for i in range(0x80, 0x110000) if not 0xD800 <= i < 0xE000 and i not in HANGUL):
         bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if bare != c and c not in plain:
+        if not bare:
+            marks.append(c)
+        elif bare != c and c not in plain:
             (plain if len(bare) == 1 else several)[c] = bare
-    return "".join(plain), "".join(plain.values()), tuple(several.items())
+    # the two signs of the table's text can't stand in it: no character that is folded holds them
+    several = {c: b for c, b in several.items() if "\0" not in b and "\1" not in b}
+    return "".join([*plain, *marks]), "".join(plain.values()), "".join(several), "\0".join(f"{c}\1{b}" for c, b in several.items())
 
 
 def fold(text: Column) -> Column:
-    """Without accents, in compatibility form: one translate for single letters, replacements for the few that expand."""
-    letters, bare, several = _fold_table()
-    out = F.translate(F.regexp_replace(text, r"\p{Mn}", ""), letters, bare)
-    wide = [(c, b) for c, b in several if b.isascii() and b.strip()]
-    expanded = out
-    for c, b in wide:
-        expanded = F.replace(expanded, F.lit(c), F.lit(b))
-    return F.when(out.rlike(f"[{''.join(c for c, _ in wide)}]"), expanded).otherwise(out)
+    """Without combining marks, in compatibility form, and ł as l; Hangul stays as it is (all letters but ASCII's become spaces when cleaned).
+
+    One translate for all characters that become one or none. Only texts with one that becomes several are taken apart.
+    """
+    letters, bare, wide, table = _fold_table()
+    out = F.translate(text, letters, bare)
+    become = F.str_to_map(F.lit(table), F.lit("\0"), F.lit("\1"))
+    expanded = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(become, c), c)), "")
+    return F.when(F.length(F.translate(out, wide, "")) < F.length(out), expanded).otherwise(out)
 
 
 def clean(text: Column) -> Column:
@@ -88,15 +99,14 @@ def _words(text: Column) -> Column:
 
 
 def extract_brand(cleaned: Column, vendor: Column, brands: tuple[str, ...] = BRANDS) -> Column:
-    """Longest brand of several words at word boundaries, else a first word that is a brand, else the vendor or a brand of several words in it."""
+    """Longest brand of several words at word boundaries, else the first of the words that are brands, else the vendor or a brand of several words in it."""
     several = F.array(*map(F.lit, sorted((b for b in brands if " " in b), key=lambda b: (-len(b), b)))) if any(" " in b for b in brands) else F.array().cast("array<string>")
     known = F.array(*map(F.lit, sorted(brands)))
     maker = clean(F.coalesce(vendor, F.lit("")))
     inside = F.get(F.filter(several, lambda b: F.contains(cleaned, b) & F.regexp_like(cleaned, F.concat(F.lit(r"\b"), b, F.lit(r"\b")))), F.lit(0))
-    first = F.get(_words(cleaned), F.lit(0))
     return F.coalesce(
         inside,
-        F.when(F.array_contains(known, first), first),
+        F.get(F.filter(_words(cleaned), lambda w: F.array_contains(known, w)), F.lit(0)),
         F.when(F.array_contains(known, maker), maker),
         F.get(F.filter(several, lambda b: F.contains(maker, b)), F.lit(0)),
     )
@@ -120,8 +130,13 @@ def core(token_list: Column) -> Column:
 
 
 def general(x: Column) -> Column:
-    """A number without trailing zeros, as %g writes those of six digits or fewer."""
-    return F.regexp_replace(x.cast("decimal(18,6)").cast("string"), r"\.?0+$", "")
+    """A number as %g writes it: six digits at most, no trailing zeros, an exponent below -4 and from 6 on."""
+    written = F.format_string("%.5e", x)
+    power = F.split_part(written, F.lit("e"), F.lit(2))
+    bare = lambda t: F.regexp_replace(t, r"\.?0+$", "")
+    fixed = bare(written.try_cast("double").try_cast("decimal(38,10)").cast("string"))
+    wide = F.concat(bare(F.split_part(written, F.lit("e"), F.lit(1))), F.lit("e"), power)
+    return F.when(x == 0, F.lit("0")).when(power.try_cast("int").between(-4, 5), fixed).when(x.isNotNull(), wide)
 
 
 def size_tag(base_value: Column, base_unit: Column) -> Column:

@@ -16,8 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the place that driver and executors share; a local one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/cartmill-checkpoints"
+    """A new folder in the place that driver and executors share; a local one only where none is set and all runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or "file:///tmp/cartmill-checkpoints"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -82,9 +85,17 @@ TITLE_VOCABULARY = Vocabulary(brands=(*BRANDS, *TITLE_BRANDS))
 
 
 def raw_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """offer_id, shop_id, title, vendor"""
-    maker = F.translate("p_brand", "#", "")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("offer_id"), (F.col("p_partkey") % 7).alias("shop_id"), F.concat_ws(" ", "p_name", maker, F.concat(F.col("p_size").cast("string"), F.lit("kg"))).alias("title"), maker.alias("vendor"))
+    """offer_id, shop_id, title, vendor: the maker first, last or only as vendor; sizes plain, as packs, or with a count apart; accents and synonyms."""
+    maker, size, key = F.translate("p_brand", "#", ""), F.col("p_size").cast("string"), F.col("p_partkey")
+    said = F.when(key % 3 == 1, F.lit(None)).otherwise(maker)  # else the vendor alone tells
+    title = (
+        F.when(key % 5 == 0, F.concat_ws(" ", "p_name", said, F.concat(size, F.lit("kg"))))
+        .when(key % 5 == 1, F.concat_ws(" ", said, "p_name", F.concat(F.lit("3 x "), size, F.lit("kg"))))
+        .when(key % 5 == 2, F.concat_ws(" ", F.lit("Ryż"), "p_name", F.lit("– ½"), said, F.concat(size, F.lit(" KG"))))
+        .when(key % 5 == 3, F.concat_ws(" ", "p_name", said, F.concat(size, F.lit("kg, Pack of 4"))))
+        .otherwise(F.concat_ws(" ", F.lit("Premium"), "p_name", F.concat(size, F.lit("00g x 2")), said, F.lit("spices")))
+    )
+    return table(spark, sf_dir, "part").select(key.alias("offer_id"), (key % 7).alias("shop_id"), title.alias("title"), F.when(key % 3 != 0, maker).alias("vendor"))
 
 
 def titles(spark: SparkSession, sf_dir: str, vocabulary: Vocabulary = TITLE_VOCABULARY) -> DataFrame:
