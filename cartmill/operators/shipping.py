@@ -25,18 +25,18 @@ def quote(rules: Column, subtotal: Column, grams: Column) -> Column:
     """The cheapest method's cost (the first of equals), its days and flags; null without rules or methods."""
     kg = grams / 1000.0
     usable = F.filter(F.coalesce(rules["methods"], F.array().cast(f"array<{METHOD}>")), lambda m: F.size(F.coalesce(m["bands"], F.array().cast(f"array<{BAND}>"))) > 0)
-    priced = F.transform(usable, lambda m, i: F.struct(band_price(m["bands"], kg)["price"].alias("cost"), i.alias("i"), band_price(m["bands"], kg)["over"].alias("over"), m.alias("m")))
+    priced = F.transform(usable, lambda m, i: F.struct(band_price(m["bands"], kg).alias("b"), i.alias("i"), m.alias("m")))
     # structs compare field by field, so the least is the cheapest, then the first
-    best = F.get(F.array_sort(priced, lambda x, y: F.when(x["cost"] < y["cost"], -1).when(x["cost"] > y["cost"], 1).otherwise(x["i"] - y["i"])), F.lit(0))
+    best = F.get(F.array_sort(priced, lambda x, y: F.when(x["b"]["price"] < y["b"]["price"], -1).when(x["b"]["price"] > y["b"]["price"], 1).otherwise(x["i"] - y["i"])), F.lit(0))
     transit = F.coalesce(best["m"]["transit_days"], F.array(F.lit(3), F.lit(7)))
     handling = F.coalesce(rules["handling_days"], F.array(F.lit(0), F.lit(0)))
     free = F.coalesce(subtotal >= rules["free_over"], F.lit(False))
     out = F.struct(
-        F.when(free, F.lit(0.0)).otherwise(best["cost"]).alias("cost"),
+        F.when(free, F.lit(0.0)).otherwise(best["b"]["price"]).alias("cost"),
         F.coalesce(best["m"]["name"], F.lit("Shipping")).alias("method"),
         (F.element_at(transit, 1) + F.element_at(handling, 1)).alias("eta_min"),
         (F.element_at(transit, -1) + F.element_at(handling, -1)).alias("eta_max"),
-        (best["over"] | F.coalesce(kg > rules["max_order_kg"], F.lit(False))).alias("over_limit"),
+        (best["b"]["over"] | F.coalesce(kg > rules["max_order_kg"], F.lit(False))).alias("over_limit"),
         free.alias("free"),
         F.coalesce(best["m"]["estimated"], F.coalesce(rules["confidence"], F.lit("low")) != "high").alias("estimated"),
     ).cast(QUOTE)
