@@ -1,15 +1,17 @@
 """Listings into products: token rarity, blocking, scoring, and leader clustering in listing order.
 
 Clustering is sequential by definition: a listing joins the best product so far that scores 0.72 or more, else it
-starts one. Two listings can only meet if they share a blocking key, and every key ends in the size tag. So the
-connected components of listings over keys (those looked up and those that the product would be found by) never
-interact: each is one group of its own in listing order, and the result equals the one loop over all.
+starts one. A pair that scores less decides nothing, so pairs are scored first, in parallel: those that share a
+blocking key, in the order of listings. The connected components of the pairs that reach the threshold never interact;
+in each the loop runs over given scores, and the result equals the one loop over all. A listing that reaches it with
+none starts a product of its own without a loop.
 """
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -106,82 +108,52 @@ def sorted_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
-def groups_of(tokens: set[str], groups: tuple[tuple[str, ...], ...]) -> list[frozenset]:
-    return [frozenset(tokens & set(g)) for g in groups]
-
-
-class Scorer:
-    """The score of a listing against a product, given the rarity of tokens."""
-
-    def __init__(self, idf: dict[str, float], canonical: set[str], rare: float = SCORE_IDF):
-        self.idf, self.canonical, self.rare = idf, canonical, rare
-
-    def weight(self, tokens: set[str]) -> float:
-        return sum(self.idf.get(t, SCORE_IDF) for t in sorted(tokens))
-
-    def __call__(self, o: dict, p: dict) -> float:
-        """o, p: brand, tokens, base_unit, base_value."""
-        if o["brand"] and p["brand"] and o["brand"] != p["brand"]:
-            return 0.0
-        sized = bool(o["base_value"]) and bool(p["base_value"])
-        if sized:
-            if o["base_unit"] != p["base_unit"]:
-                return 0.0
-            if abs(o["base_value"] - p["base_value"]) / max(o["base_value"], p["base_value"]) > SIZE_TOLERANCE:
-                return 0.0
-        a, b = set(o["tokens"]), set(p["tokens"])
-        penalty, hard = 0.0, False
-        for groups, cost in ((HARD_GROUPS, HARD_PENALTY), (SOFT_GROUPS, SOFT_PENALTY)):
-            for left, right in zip(groups_of(a, groups), groups_of(b, groups), strict=True):
-                if left and right and left != right:
-                    return 0.0
-                if bool(left) != bool(right):
-                    penalty += cost
-                    hard |= groups is HARD_GROUPS
-        common, every = self.weight(a & b), self.weight(a | b)
-        ratio = lcs_ratio(" ".join(sorted(a)), " ".join(sorted(b)))
-        name = 0.5 * ratio + 0.5 * (common / every if a and b and every else 0.0) - penalty
-        same = bool(o["brand"]) and o["brand"] == p["brand"]
-        if not hard and same and sized and a and b:
-            small, large = (a, b) if len(a) <= len(b) else (b, a)
-            if not any(t not in self.canonical and self.idf.get(t, SCORE_IDF) >= self.rare for t in large - small):
-                whole = self.weight(small)
-                if whole:
-                    name = max(name, self.weight(small & large) / whole - penalty)
-        if same:
-            name += SAME_BRAND
-        elif bool(o["brand"]) != bool(p["brand"]):
-            name += ONE_BRAND
-        if sized:
-            name += BOTH_SIZES
-        elif bool(o["base_value"]) != bool(p["base_value"]):
-            name += ONE_SIZE
-        return min(1.0, max(0.0, name))
-
-
-def lead(rows: list[dict], scorer: Scorer) -> list[tuple[int, int, float]]:
-    """(listing, product's first listing, score) by the sequential loop, rows in listing order."""
-    index: dict[str, list[dict]] = defaultdict(list)
-    out = []
-    for row in rows:
-        best, found, seen = 0.0, None, set()
-        for key in row["keys"]:
-            for p in index.get(key, ()):
-                if p["offer_id"] not in seen:
-                    seen.add(p["offer_id"])
-                    s = scorer(row, p)
-                    if s > best:
-                        best, found = s, p
-        if found is not None and best >= MATCH_THRESHOLD:
-            out.append((row["offer_id"], found["offer_id"], round(best, 4)))
-        else:
-            out.append((row["offer_id"], row["offer_id"], 1.0))
-            for key in row["product_keys"]:
-                index[key].append(row)
+def _weight(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda s, t: s + F.coalesce(t["idf"], F.lit(SCORE_IDF)))
+
+
+def _names(xs: Column) -> Column:
+    return F.transform(xs, lambda t: t["token"])
+
+
+def _rejects(o: Column, p: Column) -> Column:
+    """Whether brands, sizes, units or words of one group contradict each other."""
+    brands = F.coalesce(o["brand"] != p["brand"], F.lit(False))
+    apart = F.abs(o["value"] - p["value"]) / F.greatest(o["value"], p["value"]) > SIZE_TOLERANCE
+    out = brands | (_sized(o) & _sized(p) & (~o["unit"].eqNullSafe(p["unit"]) | apart))
+    for group in (*HARD_GROUPS, *SOFT_GROUPS):
+        left, right = _inside(o, group), _inside(p, group)
+        out = out | ((F.size(left) > 0) & (F.size(right) > 0) & (left != right))
     return out
 
 
-MATCHED = "offer_id long, product_offer long, score double"
+def _sized(x: Column) -> Column:
+    return F.coalesce(x["value"], F.lit(0.0)) > 0
+
+
+def _inside(x: Column, group: tuple[str, ...]) -> Column:
+    return F.array_sort(F.array_intersect(_names(x["weighed"]), F.array(*map(F.lit, group))))
+
+
+def name_score(o: Column, p: Column, ratio: Column, canonical: set[str], rare: float) -> Column:
+    """The score of a listing against a product, structs (brand, value, unit, weighed), that don't reject each other; it grows with ratio, the likeness of their sorted tokens."""
+    one_sided = lambda g: (F.size(_inside(o, g)) > 0) != (F.size(_inside(p, g)) > 0)
+    n_hard = sum((one_sided(g).cast("int") for g in HARD_GROUPS), F.lit(0))
+    penalty = n_hard * HARD_PENALTY + sum((one_sided(g).cast("int") for g in SOFT_GROUPS), F.lit(0)) * SOFT_PENALTY
+    alike = 0.5 * ratio + 0.5 * weighted_jaccard(o["weighed"], p["weighed"]) - penalty
+    same = F.coalesce(o["brand"] == p["brand"], F.lit(False))
+    both = _sized(o) & _sized(p)
+    few = F.when(F.size(o["weighed"]) <= F.size(p["weighed"]), o["weighed"]).otherwise(p["weighed"])
+    many = F.when(F.size(o["weighed"]) <= F.size(p["weighed"]), p["weighed"]).otherwise(o["weighed"])
+    known = F.array(*map(F.lit, sorted(canonical)))
+    telling = F.exists(many, lambda t: ~F.array_contains(_names(few), t["token"]) & ~F.array_contains(known, t["token"]) & (F.coalesce(t["idf"], F.lit(SCORE_IDF)) >= rare))
+    whole = _weight(few)
+    held = _weight(F.filter(few, lambda t: F.array_contains(_names(many), t["token"]))) / whole - penalty
+    anchored = (n_hard == 0) & same & both & (F.size(few) > 0) & ~telling & (whole != 0)
+    name = F.when(anchored, F.greatest(alike, held)).otherwise(alike)
+    one_brand = o["brand"].isNull() != p["brand"].isNull()
+    bonus = F.when(same, SAME_BRAND).when(one_brand, ONE_BRAND).otherwise(0.0) + F.when(both, BOTH_SIZES).when(_sized(o) != _sized(p), ONE_SIZE).otherwise(0.0)
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), name + bonus))
 
 
 def prepare(titles: DataFrame, idf: DataFrame, grams: str | None = None) -> DataFrame:
@@ -202,6 +174,7 @@ def prepare(titles: DataFrame, idf: DataFrame, grams: str | None = None) -> Data
         "weighed",
         F.col("size.base_value").alias("base_value"),
         F.col("size.base_unit").alias("base_unit"),
+        "size",
         product_value.alias("product_value"),
         product_unit.alias("product_unit"),
         block_keys(F.col("brand"), rarest(F.col("weighed")), F.col("tag")).alias("keys"),
@@ -209,49 +182,98 @@ def prepare(titles: DataFrame, idf: DataFrame, grams: str | None = None) -> Data
     )
 
 
-def match(prepared: DataFrame, canonical: set[str], n_titles: int, folder: str) -> DataFrame:
-    """offer_id, product_offer (the listing that started its product), score.
+def existing_products(products: DataFrame, idf: DataFrame) -> DataFrame:
+    """Products there already (product_id, brand, match_core, size_value, base_unit), with the keys that they are found by."""
+    rows = products.withColumn("tokens", F.filter(F.split(F.coalesce("match_core", F.lit("")), " "), lambda t: t != ""))
+    tag = size_tag(F.when(F.col("size_value") > 0, F.col("size_value")), F.col("base_unit"))
+    weighed = with_idf(rows, idf, "product_id")
+    return weighed.select("product_id", "brand", F.coalesce("weighed", F.array().cast(weighed.schema["weighed"].dataType)).alias("weighed"), F.col("size_value").alias("product_value"), F.col("base_unit").alias("product_unit"), "tokens", tag.alias("tag")).withColumn("product_keys", block_keys(F.col("brand"), rarest(F.col("weighed"), "token"), F.col("tag"))).drop("tag")
+
 
-    Groups are connected components over keys; `folder` holds their rounds. Rarities travel with the rows.
+def scored_pairs(prepared: DataFrame, canonical: set[str], n_titles: int, existing: DataFrame | None = None) -> DataFrame:
+    """offer_id, leader, score, place: a listing and an earlier one, or an existing product (as -1 - product_id), that share a key and reach the threshold.
+
+    `place` is that of the first key they share. What can't reach it even if the names were equal is dropped before names are compared.
     """
-    spread = prepared.select("offer_id", F.explode(F.array_union("keys", "product_keys")).alias("k"))
-    firsts = spread.groupBy("k").agg(F.min("offer_id").alias("b"))
-    edges = spread.join(firsts, "k").select(F.col("offer_id").alias("a"), "b").filter("a <> b").distinct()
-    roots = components(edges, folder)
-    grouped = prepared.join(roots.withColumnRenamed("node", "offer_id"), "offer_id", "left").withColumn("root", F.coalesce("root", "offer_id"))
     rare = math.log(max(n_titles, RARE_FREQUENCY) / RARE_FREQUENCY)
+    order = F.struct("shop_id", "title", "offer_id")
+    looks = prepared.select("offer_id", order.alias("at"), "brand", F.posexplode("keys").alias("place", "k"))
+    found_by = prepared.select(F.col("offer_id").alias("leader"), order.alias("at"), "brand", F.explode("product_keys").alias("k"))
+    earlier = (F.col("p.at") < F.col("o.at")) & F.coalesce(F.col("o.brand") == F.col("p.brand"), F.lit(True))
+    facts = prepared.select(F.col("offer_id").alias("id"), F.struct(F.nullif("brand", F.lit("")).alias("brand"), F.col("base_value").alias("value"), F.col("base_unit").alias("unit"), "weighed").alias("o"), F.struct(F.nullif("brand", F.lit("")).alias("brand"), F.col("product_value").alias("value"), F.col("product_unit").alias("unit"), "weighed").alias("p"))
+    leads = facts.select(F.col("id").alias("leader"), "p")
+    pairs = looks.alias("o").join(found_by.alias("p"), (F.col("o.k") == F.col("p.k")) & earlier).select("o.offer_id", "p.leader", "o.place")
+    if existing is not None:
+        known = existing.select((-1 - F.col("product_id")).alias("leader"), "brand", F.explode("product_keys").alias("k"))
+        pairs = pairs.unionByName(looks.join(known.drop("brand"), "k").select("offer_id", "leader", "place"))
+        leads = leads.unionByName(existing.select((-1 - F.col("product_id")).alias("leader"), F.struct(F.nullif("brand", F.lit("")).alias("brand"), F.col("product_value").alias("value"), F.col("product_unit").alias("unit"), "weighed").alias("p")))
+    pairs = pairs.groupBy("offer_id", "leader").agg(F.min("place").alias("place"))
+    both = pairs.join(leads, "leader").join(facts.select(F.col("id").alias("offer_id"), "o"), "offer_id")
+    o, p = F.col("o"), F.col("p")
+    able = both.filter(~_rejects(o, p) & (name_score(o, p, F.lit(1.0), canonical, rare) >= MATCH_THRESHOLD))
+    named = able.withColumn("ratio", sorted_ratio(core(_names(o["weighed"])), core(_names(p["weighed"]))))
+    return named.select("offer_id", "leader", "place", name_score(o, p, F.col("ratio"), canonical, rare).alias("score")).filter(F.col("score") >= MATCH_THRESHOLD)
+
+
+def lead(edges: pd.DataFrame) -> list[tuple[int, int, float]]:
+    """(listing, leader, score) of the listings of a component that join another, by the loop over scored pairs, in listing order."""
+    ways: dict[int, list] = defaultdict(list)
+    listings: dict[int, tuple] = {}
+    for e in edges.itertuples():
+        ways[e.offer_id].append((-e.score, e.place, e.leader_order is not None, tuple(e.leader_order or (-1 - e.leader,)), e.leader))
+        listings[e.offer_id] = tuple(e.offer_order)
+        if e.leader_order is not None:
+            listings[e.leader] = tuple(e.leader_order)
+    leaders = {w[-1] for ws in ways.values() for w in ws if not w[2]}  # existing products
+    out = []
+    for offer in sorted(listings, key=listings.get):
+        open_ways = [w for w in ways[offer] if w[-1] in leaders]
+        if open_ways:
+            best = min(open_ways)
+            out.append((offer, best[-1], round(-best[0], 4)))
+        else:
+            leaders.add(offer)
+    return out
+
+
+def match(prepared: DataFrame, canonical: set[str], n_titles: int, keep: Callable[[DataFrame, str], DataFrame], folder: str, existing: DataFrame | None = None) -> DataFrame:
+    """offer_id, product_offer (the listing that started its product; null for a product that existed), product_id (of that one), score.
+
+    `keep` writes rows and reads them again; `folder` holds the components' rounds.
+    """
+    edges = keep(scored_pairs(prepared, canonical, n_titles, existing), "pairs")
+    roots = components(edges.select(F.col("offer_id").alias("a"), F.col("leader").alias("b")), folder)
+    order = prepared.select(F.col("offer_id").alias("id"), F.struct("shop_id", "title", "offer_id").alias("at"))
+    rows = edges.join(roots.withColumnRenamed("node", "offer_id"), "offer_id").join(order.select(F.col("id").alias("offer_id"), F.col("at").alias("offer_order")), "offer_id")
+    rows = rows.join(order.select(F.col("id").alias("leader"), F.col("at").alias("leader_order")), "leader", "left")
+
+    def cluster(group: pd.DataFrame) -> pd.DataFrame:
+        for name in ("offer_order", "leader_order"):
+            group[name] = [None if x is None else (x["shop_id"], x["title"], x["offer_id"]) for x in group[name]]
+        return pd.DataFrame(lead(group), columns=["offer_id", "leader", "score"]).astype({"offer_id": "int64", "leader": "int64", "score": "float64"})
+
+    joined = rows.groupBy("root").applyInPandas(cluster, "offer_id long, leader long, score double")
+    named = prepared.select("offer_id").join(joined, "offer_id", "left").withColumn("leader", F.coalesce("leader", "offer_id"))
+    return named.select("offer_id", F.when(F.col("leader") >= 0, F.col("leader")).alias("product_offer"), F.when(F.col("leader") < 0, -1 - F.col("leader")).alias("product_id"), F.coalesce("score", F.lit(1.0)).alias("score"))
+
 
-    def cluster(rows: pd.DataFrame) -> pd.DataFrame:
-        idf = {t["token"]: t["idf"] for w in rows["weighed"] for t in w if t["idf"] is not None}
-        ordered = rows.sort_values(["shop_id", "title", "offer_id"])
-        items = [
-            {
-                "offer_id": int(r.offer_id),
-                "brand": r.brand or None,
-                "tokens": list(r.tokens),
-                "base_value": None if pd.isna(r.base_value) else r.base_value,
-                "base_unit": r.base_unit,
-                "keys": list(r.keys),
-                "product_keys": list(r.product_keys),
-            }
-            for r in ordered.itertuples()
-        ]
-        return pd.DataFrame(lead(items, Scorer(idf, canonical, rare)), columns=["offer_id", "product_offer", "score"])
-
-    return grouped.groupBy("root").applyInPandas(cluster, MATCHED)
-
-
-def products_of(matched: DataFrame, prepared: DataFrame) -> DataFrame:
-    """product_id (by order of creation), slug (unique), name, brand, offers of each product."""
-    first = matched.groupBy("product_offer").agg(F.count("*").alias("offers"))
+def products_of(matched: DataFrame, prepared: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """product_id (by order of creation), product_offer, slug (unique), name, brand, offers of each new product. `keep` writes rows and reads them again."""
+    first = matched.filter("product_offer is not null").groupBy("product_offer").agg(F.count("*").alias("offers"))
     heads = prepared.join(first, prepared.offer_id == first.product_offer)
-    size = F.when(F.col("product_value").isNotNull(), F.concat(general(F.col("product_value")), F.col("product_unit")))
-    named = heads.withColumn("name", F.concat_ws(" ", F.initcap("brand"), F.array_join(F.transform("tokens", F.initcap), " "), size))
-    ordered = Window.orderBy("shop_id", "title", "offer_id")  # one row a product
-    numbered = named.withColumn("product_id", F.row_number().over(ordered)).withColumn("base", slugify(F.col("name")))
-    nth = F.row_number().over(Window.partitionBy("base").orderBy("product_id"))
+    amount = F.concat(general(F.col("size.value")), F.col("size.unit"))
+    size = F.when(F.col("size.value") > 0, F.when(F.col("size.multipack") > 1, F.concat(F.col("size.multipack").cast("string"), F.lit("x"), amount)).otherwise(amount))
+    titled = F.coalesce(F.nullif(F.array_join(F.transform("tokens", F.initcap), " "), F.lit("")), F.col("title"))
+    named = heads.withColumn("name", F.concat_ws(" ", F.initcap("brand"), titled, size))
+    # numbered by ranges: a range's rows in order, then the ranges before it
+    ordered = named.repartitionByRange("shop_id", "title", "offer_id").sortWithinPartitions("shop_id", "title", "offer_id")
+    placed = keep(ordered.select("product_offer", "name", "brand", "tokens", "offers", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("seq")), "products")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = placed.groupBy("part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    numbered = placed.join(F.broadcast(sums.select("part", "base")), "part").withColumn("product_id", F.col("base") + F.col("seq") + 1).withColumn("slug", slugify(F.col("name")))
+    nth = F.row_number().over(Window.partitionBy("slug").orderBy("product_id"))
     return numbered.withColumn("nth", nth).select(
-        "product_id", "product_offer", F.when(F.col("nth") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("nth").cast("string"))).alias("slug"), "name", "brand", core(F.col("tokens")).alias("match_core"), "offers"
+        "product_id", "product_offer", F.when(F.col("nth") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("nth").cast("string"))).alias("slug"), "name", "brand", core(F.col("tokens")).alias("match_core"), "offers"
     )
 
 
