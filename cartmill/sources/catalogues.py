@@ -80,6 +80,21 @@ def read_pages(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 SHOP_DDL = f"slug string, name string, url string, platform string, country string, currency string, ships_to array<string>, active boolean, weight_unit string, shipping_rules {RULES}"
 
 
+def read_registry(path: str) -> list[dict]:
+    """The entries of a registry file: YAML where a reader for it is installed, else JSON; a list, or a list under `shops`."""
+    import json
+    from pathlib import Path
+
+    body = Path(path).read_text(encoding="utf-8")
+    try:
+        import yaml
+    except ImportError:
+        found = json.loads(body)
+    else:
+        found = yaml.safe_load(body)
+    return found["shops"] if isinstance(found, dict) else found
+
+
 def load_shops(spark: SparkSession, entries: list[dict]) -> DataFrame:
     """The registry's entries as shops, with defaults: country PL, currency PLN, ships at home, active, grams."""
     rows = [
