@@ -17,17 +17,39 @@ SELECT category, subcategory, n, row_number() OVER (PARTITION BY subcategory IS
 QUOTED = f"""WITH {OFFERS}, {SHOPS}, kilos AS (SELECT *, weight_grams / 1000.0 AS kg, price >= 2500.0 + 100.0 * (shop_id % 5) AS free FROM offers),
 priced AS (SELECT *, CASE WHEN kg <= 1.0 THEN 12.0 WHEN kg <= 3.0 THEN 18.0 ELSE 18.0 * ceil(kg / 3.0) END AS courier, CASE WHEN kg <= 2.0 THEN 15.0 ELSE 15.0 * ceil(kg / 2.0) END AS locker FROM kilos),
 quoted AS (SELECT *, CAST(CASE WHEN free THEN 0.0 ELSE least(courier, locker) END AS DOUBLE) AS cost, courier <= locker AS by_courier FROM priced) """
-BASKET = f"""WITH {OFFERS}, {SHOPS}, eight AS (SELECT shop_id FROM shops ORDER BY shop_id LIMIT 8),
-near AS (SELECT * FROM offers WHERE in_stock AND shop_id IN (SELECT shop_id FROM eight)),
-held AS (SELECT product_id, count(DISTINCT shop_id) AS n FROM near GROUP BY product_id),
-ids AS ((SELECT product_id FROM held WHERE n >= 2 ORDER BY product_id LIMIT 4) UNION ALL (SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT product_id FROM held) ORDER BY p_partkey LIMIT 1)),
-wanted AS (SELECT product_id, 1 + product_id % 3 AS quantity FROM ids),
-found AS (SELECT n.product_id, n.shop_id, n.price, n.weight_grams, w.quantity, row_number() OVER (ORDER BY 1) FROM near n JOIN wanted w USING (product_id)),
+BASKET = f"""WITH {OFFERS}, {SHOPS}, near AS (SELECT * FROM offers WHERE in_stock), held AS (SELECT product_id, count(DISTINCT shop_id) AS n FROM near GROUP BY product_id),
+few AS (SELECT product_id FROM held WHERE n >= 2 ORDER BY n, product_id LIMIT 2), four AS (SELECT product_id FROM held WHERE n >= 2 ORDER BY product_id LIMIT 4),
+of_one AS (SELECT product_id FROM near WHERE shop_id = (SELECT shop_id FROM near GROUP BY shop_id ORDER BY count(*) DESC, shop_id LIMIT 1) ORDER BY product_id LIMIT 2),
+unsold AS (SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT product_id FROM held) ORDER BY p_partkey LIMIT 1),
+wanted AS (SELECT product_id, 1 + product_id % 3 AS quantity FROM (SELECT product_id FROM {{some}} UNION ALL SELECT p_partkey FROM unsold)),
+found AS (SELECT n.product_id, n.shop_id, n.price, n.weight_grams, w.quantity FROM near n JOIN wanted w USING (product_id)),
 k AS (SELECT count(DISTINCT product_id) AS k FROM found), bits AS (SELECT shop_id, row_number() OVER (ORDER BY shop_id) - 1 AS bit FROM (SELECT DISTINCT shop_id FROM found)) """
-COST = """parcels AS (SELECT plan, shop_id, CAST(sum(CAST(price * quantity AS DECIMAL(28, 10))) AS DOUBLE) AS subtotal, sum(CASE WHEN coalesce(weight_grams, 0) = 0 THEN 500 ELSE weight_grams END * quantity) / 1000.0 AS kg, count(*) AS items FROM picks GROUP BY plan, shop_id),
-shipped AS (SELECT *, round(CASE WHEN subtotal >= 2500.0 + 100.0 * (shop_id % 5) THEN 0.0 ELSE least(CASE WHEN kg <= 1.0 THEN 12.0 WHEN kg <= 3.0 THEN 18.0 ELSE 18.0 * ceil(kg / 3.0) END, CASE WHEN kg <= 2.0 THEN 15.0 ELSE 15.0 * ceil(kg / 2.0) END) END, 2) AS shipping FROM parcels),
+FEW, FOUR, OF_ONE = (BASKET.replace("{some}", x) for x in ("few", "four", "of_one"))
+MASKS = "masks AS (SELECT unnest(range(1, CAST(pow(2, (SELECT count(*) FROM bits)) AS BIGINT))) AS plan), inside AS (SELECT plan, f.*, row_number() OVER (PARTITION BY plan, product_id ORDER BY price, shop_id) AS rn FROM masks JOIN bits ON (plan >> bit) & 1 = 1 JOIN found f USING (shop_id)), picks AS (SELECT * FROM inside WHERE rn = 1)"
+BEST = "SELECT * FROM plans WHERE items = (SELECT k FROM k) ORDER BY cost, len(ids), bit_count(plan), ids, plan LIMIT 1"
+NAIVE = "picks AS (SELECT 0 AS plan, * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY price, shop_id) AS rn FROM found) WHERE rn = 1)"
+COST = """parcels AS (SELECT plan, shop_id, CAST(sum(CAST(price * quantity AS DECIMAL(28, 10))) AS DOUBLE) AS subtotal, sum(CASE WHEN coalesce(weight_grams, 0) = 0 THEN 500 ELSE weight_grams END * quantity) / 1000.0 AS kg, count(*) AS items, list_sort(list(product_id)) AS products FROM picks GROUP BY plan, shop_id),
+fees AS (SELECT *, 2500.0 + 100.0 * (shop_id % 5) AS free_over, CASE WHEN kg <= 1.0 THEN 12.0 WHEN kg <= 3.0 THEN 18.0 ELSE 18.0 * ceil(kg / 3.0) END AS courier, CASE WHEN kg <= 2.0 THEN 15.0 ELSE 15.0 * ceil(kg / 2.0) END AS locker FROM parcels),
+shipped AS (SELECT *, round(CASE WHEN subtotal >= free_over THEN 0.0 ELSE least(courier, locker) END, 2) AS shipping FROM fees),
 plans AS (SELECT plan, CAST(round(sum(CAST(subtotal + shipping AS DECIMAL(28, 10))), 2) AS DOUBLE) AS cost, list_sort(list(shop_id)) AS ids, sum(items) AS items FROM shipped GROUP BY plan)"""
-TITLES = """titles AS (SELECT p_partkey AS offer_id, p_partkey % 7 AS shop_id, lower(replace(p_brand, '#', '')) AS brand, [x for x in string_split(p_name, ' ') if x <> 'new'] AS tokens, CAST(p_size AS VARCHAR) || 'kg' AS tag, p_size FROM part)"""
+_MAKERS = ", ".join(f"'{x}'" for x in (*(f"brand{i}" for i in range(1, 26)), *(b for b in BRANDS if b.isalpha())))
+_SAME = ", ".join(f"'{a}': '{b}'" for a, b in sorted(default_synonyms().items()))
+_STOPS = ", ".join(f"'{x}'" for x in STOPWORDS)
+TITLES = f"""raw AS (SELECT p_partkey AS offer_id, p_partkey % 7 AS shop_id, p_name, CASE WHEN p_partkey % 3 <> 0 THEN lower(replace(p_brand, '#', '')) END AS vendor,
+  CASE WHEN p_partkey % 3 = 1 THEN '' ELSE replace(p_brand, '#', '') || ' ' END AS said, CAST(p_size AS VARCHAR) AS s FROM part),
+said AS (SELECT offer_id, shop_id, vendor, CASE offer_id % 5 WHEN 0 THEN p_name || ' ' || said || s || 'kg' WHEN 1 THEN said || p_name || ' 3 x ' || s || 'kg' WHEN 2 THEN 'Ryż ' || p_name || ' – ½ ' || said || s || ' KG'
+  WHEN 3 THEN p_name || ' ' || said || s || 'kg, Pack of 4' ELSE 'Premium ' || p_name || ' ' || s || '00g x 2 ' || said || 'spices' END AS title FROM raw),
+cleaned AS (SELECT *, trim(regexp_replace(lower(strip_accents(replace(title, '½', '1 2'))), '[^a-z0-9.,x]+', ' ', 'g')) AS c FROM said),
+sized AS (SELECT *, regexp_extract(c, '\\b([0-9]+) x ([0-9]+)(kg|g)\\b', ['n', 'v', 'u']) AS front, regexp_extract(c, '\\b([0-9]+)(kg|g) x ([0-9]+)\\b', ['v', 'u', 'n']) AS back,
+  regexp_extract(c, '\\b([0-9]+) ?(kg|g)\\b', ['v', 'u']) AS one, regexp_extract(c, '\\bpack of ([0-9]+)\\b', 1) AS pack,
+  string_split(trim(regexp_replace(regexp_replace(c, '\\b[0-9]+ x [0-9]+(kg|g)\\b|\\b[0-9]+(kg|g) x [0-9]+\\b', ' ', 'g'), '\\b[0-9]+ ?(kg|g)\\b', ' ', 'g')), ' ') AS ws FROM cleaned),
+told AS (SELECT *, CASE WHEN front.u <> '' THEN front.u WHEN back.u <> '' THEN back.u ELSE one.u END AS unit, CASE WHEN front.u <> '' THEN front.v WHEN back.u <> '' THEN back.v ELSE one.v END AS v,
+  CAST(CASE WHEN front.u <> '' THEN front.n WHEN back.u <> '' THEN back.n WHEN pack <> '' THEN pack ELSE '1' END AS INTEGER) AS multipack, coalesce(list_filter(string_split(c, ' '), lambda w: list_contains(makers, w))[1], vendor) AS brand
+  FROM sized, (SELECT [{_MAKERS}] AS makers, MAP {{{_SAME}}} AS same)),
+folded AS (SELECT *, list_transform(list_filter(list_transform(ws, lambda w: trim(w, '.,')), lambda w: w <> '' AND w <> coalesce(brand, '') AND NOT regexp_full_match(w, '[0-9]+') AND w NOT IN ({_STOPS})), lambda w: coalesce(same[w], w)) AS every FROM told),
+titles AS (SELECT offer_id, shop_id, brand, list_filter(every, lambda w, i: list_position(every, w) = i AND length(w) >= 2 AND w NOT IN ({_STOPS})) AS tokens,
+  round(CAST(v AS INTEGER) * CASE unit WHEN 'kg' THEN 1.0 ELSE 0.001 END * multipack, 6)::DOUBLE AS base_value, multipack, printf('%g', round(CAST(v AS INTEGER) * CASE unit WHEN 'kg' THEN 1.0 ELSE 0.001 END * multipack, 6)::DOUBLE) || 'kg' AS tag FROM folded)"""
+CATEGORY = "CASE WHEN list_contains(tokens, 'plate') THEN 'kitchenware' WHEN list_contains(tokens, 'spice') THEN 'spices' WHEN list_contains(tokens, 'rice') THEN 'rice' ELSE 'other' END"
 IDF = """df AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS token FROM titles) GROUP BY token), idf AS (SELECT token, df, ln((SELECT count(*) FROM titles WHERE len(tokens) > 0)::DOUBLE / df) AS idf FROM df)"""
 KEYS = """words AS (SELECT offer_id, brand, tag, unnest(tokens) AS token FROM titles),
 keys AS (SELECT offer_id, 'b:' || brand || '|' || tag AS key FROM titles WHERE len(tokens) > 0 UNION ALL SELECT offer_id, 't:' || token || '|' || tag FROM words UNION ALL SELECT offer_id, 'bt:' || brand || ':' || token || '|' || tag FROM words),
@@ -78,10 +100,14 @@ SQL = {
     "q_product_detail": f"{QUOTED} SELECT product_id, name AS shop, price, price + cost AS landed, in_stock FROM quoted JOIN shops USING (shop_id)",
     "q_free_gap": f"WITH {OFFERS} SELECT product_id, shop_id, greatest(2500.0 + 100.0 * (shop_id % 5) - floor(price), 0.0)::DOUBLE AS gap FROM offers",
     "q_basket_weight": "SELECT l_orderkey AS order_id, CAST(sum(CASE WHEN p_size % 7 = 0 THEN 500 ELSE p_size * 100 END * CAST(l_quantity AS BIGINT)) AS BIGINT) AS grams FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey",
-    "q_basket_optimal": f"{BASKET}, masks AS (SELECT unnest(range(1, CAST(pow(2, (SELECT count(*) FROM bits)) AS BIGINT))) AS plan), inside AS (SELECT plan, f.*, row_number() OVER (PARTITION BY plan, product_id ORDER BY price, shop_id) AS rn FROM masks JOIN bits ON (plan >> bit) & 1 = 1 JOIN found f USING (shop_id)), picks AS (SELECT * FROM inside WHERE rn = 1), {COST} SELECT cost, array_to_string(ids, ',') AS shops FROM plans WHERE items = (SELECT k FROM k) ORDER BY cost, len(ids), bit_count(plan), ids, plan LIMIT 1",
-    "q_basket_single": f"{BASKET}, picks AS (SELECT shop_id AS plan, * FROM found), {COST} SELECT cost, CAST(plan AS VARCHAR) AS shops FROM plans WHERE items = (SELECT k FROM k) ORDER BY cost, plan LIMIT 1",
-    "q_basket_naive": f"{BASKET}, picks AS (SELECT 0 AS plan, * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY price, shop_id) AS rn FROM found) WHERE rn = 1), {COST} SELECT cost, array_to_string(ids, ',') AS shops FROM plans",
-    "q_basket_missing": f"{BASKET} SELECT product_id, quantity FROM wanted WHERE product_id NOT IN (SELECT product_id FROM found)",
+    "q_basket_optimal": f"{FEW}, {MASKS}, {COST} SELECT cost, array_to_string(ids, ',') AS shops FROM ({BEST})",
+    "q_basket_parcels": f"{FEW}, {MASKS}, {COST} SELECT shop_id, array_to_string(products, ',') AS products, round(subtotal, 2) AS goods, shipping::DOUBLE AS shipping, round(subtotal + shipping, 2) AS total, CASE WHEN courier <= locker THEN 'courier' ELSE 'locker' END AS method, CASE WHEN courier <= locker THEN '2-4 d' ELSE '3-5 d' END AS eta, subtotal >= free_over AS free, kg > CASE WHEN courier <= locker THEN 3.0 ELSE 2.0 END OR kg > 4.0 AS over_limit, false AS estimated, greatest(round(free_over - subtotal, 2), 0.0)::DOUBLE AS to_free FROM shipped WHERE plan = (SELECT plan FROM ({BEST})) ORDER BY total DESC, shop_id",
+    "q_basket_savings": f"{FEW}, {MASKS}, {COST}, one AS (SELECT min(cost) AS alone FROM plans WHERE items = (SELECT k FROM k) AND bit_count(plan) = 1), top AS ({BEST}), apart AS (SELECT cost FROM plans WHERE plan = (SELECT max(plan) FROM plans)), wait AS (SELECT max(CASE WHEN courier <= locker THEN 4 ELSE 5 END) AS max_days FROM shipped WHERE plan = (SELECT plan FROM top)) SELECT top.cost, round(apart.cost - top.cost, 2) AS saved_apart, coalesce(round(alone - top.cost, 2), 0.0) AS saved_alone, max_days, 0 AS estimated FROM top, apart, one, wait",
+    "q_basket_single": f"{OF_ONE}, picks AS (SELECT shop_id AS plan, * FROM found), {COST} SELECT cost, CAST(plan AS VARCHAR) AS shops FROM plans WHERE items = (SELECT k FROM k) ORDER BY cost, plan LIMIT 1",
+    "q_basket_naive": f"{FEW}, {NAIVE}, {COST} SELECT cost, array_to_string(ids, ',') AS shops FROM plans",
+    "q_basket_all_naive": f"{FOUR}, {NAIVE}, {COST} SELECT cost, array_to_string(ids, ',') AS shops FROM plans",
+    "q_basket_country": f"{FOUR.replace("near n JOIN", "near n JOIN shops ON shops.shop_id = n.shop_id AND country = 'NATION_3' JOIN")}, {NAIVE}, {COST} SELECT cost, array_to_string(ids, ',') AS shops FROM plans",
+    "q_basket_missing": f"{FEW} SELECT product_id, quantity FROM wanted WHERE product_id NOT IN (SELECT product_id FROM found)",
     "q_price_history": "SELECT l_partkey AS product_id, lower(s_name) AS slug, l_shipdate AS observed_at, l_extendedprice / l_quantity AS price, l_linestatus = 'O' AS in_stock FROM lineitem JOIN supplier ON l_suppkey = s_suppkey",
     "q_history_series": "SELECT l_partkey AS product_id, l_suppkey AS shop_id, count(*) AS n_points, max(l_shipdate) AS newest, max(l_extendedprice / l_quantity) AS dearest FROM lineitem GROUP BY ALL",
     "q_price_changes": "WITH s AS (SELECT l_partkey AS product_id, l_suppkey AS shop_id, l_shipdate AS observed_at, l_extendedprice / l_quantity AS price, l_linestatus = 'O' AS in_stock, lag(l_extendedprice / l_quantity) OVER w AS p, lag(l_linestatus = 'O') OVER w AS st FROM lineitem WINDOW w AS (PARTITION BY l_partkey, l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, (l_linestatus = 'O'))) SELECT product_id, shop_id, observed_at, price, in_stock FROM s WHERE p IS NULL OR abs(price - p) > 0.001 OR in_stock <> st",
@@ -94,7 +120,7 @@ SQL = {
     "q_clean_titles": f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace({FOLDED}, '&[a-z]+;', ' ', 'g'), '[^a-z0-9.,×x\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS clean FROM documents",
     "q_tokens": f"WITH {TITLES} SELECT offer_id, array_to_string(tokens, ' ') AS tokens, array_to_string(list_sort(tokens), ' ') AS core FROM titles",
     "q_match_key": f"WITH {TITLES} SELECT offer_id, brand || '|' || CASE WHEN len(tokens) = 0 THEN '_' ELSE array_to_string(list_sort(tokens)[1:3], '-') END || '|' || tag AS match_key FROM titles",
-    "q_parse_size": "SELECT p_partkey AS offer_id, CAST(p_size AS DOUBLE) AS base_value, 'kg' AS base_unit, 1 AS multipack FROM part",
+    "q_parse_size": f"WITH {TITLES} SELECT offer_id, base_value, 'kg' AS base_unit, multipack FROM titles",
     "q_unit_price": f"WITH {OFFERS} SELECT product_id, shop_id, unit_price FROM offers",
     "q_brand_extract": f"WITH {TITLES} SELECT offer_id, brand FROM titles",
     "q_brand_learn": _LEARN,
@@ -102,13 +128,13 @@ SQL = {
     "q_block_keys": f"WITH {TITLES}, {KEYS} SELECT * FROM keys",
     "q_candidates": f"WITH {TITLES}, {KEYS} SELECT * FROM pairs",
     "q_weighted_jaccard": f"WITH {TITLES}, {IDF}, {KEYS}, mass AS (SELECT offer_id, sum(idf) AS total FROM words JOIN idf USING (token) GROUP BY offer_id), common AS (SELECT a, b, sum(idf) AS c FROM pairs JOIN words x ON x.offer_id = a JOIN words y ON y.offer_id = b AND x.token = y.token JOIN idf ON idf.token = x.token GROUP BY a, b) SELECT a, b, round(coalesce(c, 0.0) / (ma.total + mb.total - coalesce(c, 0.0)), 6) AS similarity FROM pairs LEFT JOIN common USING (a, b) JOIN mass ma ON ma.offer_id = a JOIN mass mb ON mb.offer_id = b",
-    "q_category": f"WITH {TITLES} SELECT offer_id, CASE WHEN list_contains(tokens, 'plate') THEN 'kitchenware' ELSE 'other' END AS category, CASE WHEN list_contains(tokens, 'plate') THEN 'Kitchen & Home' ELSE 'Other' END AS label, CASE WHEN list_contains(tokens, 'plate') THEN 'tableware' END AS subcategory FROM titles",
+    "q_category": f"WITH {TITLES} SELECT offer_id, {CATEGORY} AS category, CASE {CATEGORY} WHEN 'kitchenware' THEN 'Kitchen & Home' WHEN 'spices' THEN 'Spices & Masala' WHEN 'rice' THEN 'Rice' ELSE 'Other' END AS label, CASE WHEN {CATEGORY} = 'kitchenware' THEN 'tableware' END AS subcategory FROM titles",
     "q_nonproduct": f"SELECT doc_id, NOT regexp_matches({FOLDED}, '{'|'.join(NON_PRODUCT)}') AS is_product FROM documents",
-    "q_audit_category": f"WITH {TITLES} SELECT category, n, round(100 * n / (SELECT count(*) FROM titles), 2) AS percent FROM (SELECT CASE WHEN list_contains(tokens, 'plate') THEN 'kitchenware' ELSE 'other' END AS category, count(*) AS n FROM titles GROUP BY 1)",
-    "q_audit_tokens": f"WITH {TITLES} SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM titles WHERE NOT list_contains(tokens, 'plate')) GROUP BY token ORDER BY n DESC, token LIMIT 30",
+    "q_audit_category": f"WITH {TITLES} SELECT category, n, round(100 * n / (SELECT count(*) FROM titles), 2) AS percent FROM (SELECT {CATEGORY} AS category, count(*) AS n FROM titles GROUP BY 1)",
+    "q_audit_tokens": f"WITH {TITLES} SELECT token, count(*) AS n FROM (SELECT unnest(tokens) AS token FROM titles WHERE {CATEGORY} = 'other') GROUP BY token ORDER BY n DESC, token LIMIT 30",
     "q_audit_price": f"WITH {OFFERS} SELECT CASE WHEN product_id % 5 = 0 THEN 'unreachable' WHEN product_id % 5 = 1 THEN CASE WHEN abs(price * 1.2 - price) < 0.011 THEN 'match' ELSE 'changed' END WHEN product_id % 5 = 2 THEN CASE WHEN abs(price * 1.5 - price) < 0.011 THEN 'match' ELSE 'check' END ELSE 'match' END AS verdict, count(*) AS n FROM offers GROUP BY 1",
-    "q_url_filter": f"SELECT min(page_id) AS position, 'https://shop.example' || path AS url FROM (SELECT page_id, {PATH} AS path FROM pages) WHERE path NOT IN ('', '/') AND regexp_matches(path, '^/(en|fr|de|es)/') AND NOT regexp_matches(path, '\\.html$') GROUP BY path",
-    "q_external_id": f"SELECT page_id, CASE WHEN length(path) <= 110 THEN path ELSE path[1:93] || '#' || sha1(path)[1:16] END AS external_id FROM (SELECT page_id, {PATH} AS path FROM pages)",
+    "q_url_filter": f"SELECT min(page_id) AS position, 'https://shop.example' || path AS url FROM (SELECT page_id, {PATH} AS path FROM pages) WHERE path NOT IN ('', '/') AND regexp_matches('https://shop.example' || path, '/(en|fr|de|es)/') AND NOT regexp_matches(path, '\\.html$') GROUP BY path",
+    "q_external_id": f"SELECT page_id, CASE WHEN length(path) <= 110 THEN path ELSE path[1:93] || '#' || sha1(path)[1:16] END AS external_id FROM (SELECT page_id, coalesce(nullif(trim({PATH}, '/'), ''), url) AS path FROM pages)",
     "q_hrefs": "SELECT page_id, unnest(range(len(l))) AS position, unnest(l) AS url FROM (SELECT page_id, regexp_extract_all(html, 'href=\"([^\"]+)\"', 1) AS l FROM pages)",
     "q_crawl_new": "WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS url FROM pages), f AS (SELECT url, min(page_id) AS first FROM l GROUP BY url) SELECT page_id, count(DISTINCT CASE WHEN first = page_id THEN url END) AS fresh FROM l JOIN f USING (url) GROUP BY page_id",
     "q_html_extract": "SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), '') AS heading FROM pages",
@@ -119,6 +145,8 @@ SQL = {
     "q_variant_explode": "SELECT p_partkey || '-' || v AS external_id, CASE WHEN v = 1 THEN p_name ELSE p_name || ' Large' END AS title, 'https://shop.example/products/p' || p_partkey AS url, CAST(p_size * v AS DOUBLE) AS price, 'PLN' AS currency, true AS in_stock, CASE WHEN v = 2 THEN nullif(p_size * 100, 0) END AS weight_grams, p_brand AS brand FROM part, (SELECT unnest([1, 2]) AS v)",
     "q_store_products": "SELECT CAST(p_partkey AS VARCHAR) AS external_id, p_name || ' & more' AS title, round(p_size * 125 / 100.0::DOUBLE, 2) AS price, 'EUR' AS currency, nullif(p_size * 1000, 0) AS weight_grams FROM part",
     "q_basket_quantities": "SELECT l_partkey AS product_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY l_partkey",
+    "q_status_ok": f"{UPSERT}, c AS (SELECT shop_id, count(*) FILTER (status IN ('created', 'updated', 'same')) AS fetched, count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'updated') AS price_changes, count(*) FILTER (status = 'delisted') AS delisted FROM merged GROUP BY shop_id) SELECT shop_id, status FROM (SELECT *, 'ok: ' || fetched || ' fetched, ' || created || ' new, ' || price_changes || ' price changes, ' || delisted || ' delisted' AS status FROM c) WHERE status LIKE 'ok:%'",
+    "q_inspect_titles": f"WITH {TITLES} SELECT titles.offer_id, title, brand, array_to_string(tokens, ' ') AS tokens, base_value, multipack, brand || '|' || CASE WHEN len(tokens) = 0 THEN '_' ELSE array_to_string(list_sort(tokens)[1:3], '-') END || '|' || tag AS match_key, {CATEGORY} AS category FROM titles JOIN (SELECT offer_id, title FROM said) t ON t.offer_id = titles.offer_id",
     "q_shop_status": f"{UPSERT}, c AS (SELECT shop_id, count(*) FILTER (status IN ('created', 'updated', 'same')) AS fetched, count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'updated') AS price_changes, count(*) FILTER (status = 'delisted') AS delisted FROM merged GROUP BY shop_id) SELECT *, 'ok: ' || fetched || ' fetched, ' || created || ' new, ' || price_changes || ' price changes, ' || delisted || ' delisted' AS status FROM c",
     "q_reset_matches": f"WITH {OFFERS} SELECT shop_id % 5 = 0 AS match_locked, count(*) FILTER (shop_id % 5 = 0) AS matched, count(*) FILTER (shop_id % 5 = 0) AS scored, count(*) AS n FROM offers GROUP BY 1",
     "q_verify_readers": "SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_size * 2 ELSE p_size END AS DOUBLE) AS variant, CASE WHEN p_partkey % 2 = 0 THEN 'variant' ELSE 'first variant' END AS how, CAST(p_size AS DOUBLE) AS store, p_size + 0.5::DOUBLE AS page FROM part",

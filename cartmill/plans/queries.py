@@ -120,53 +120,63 @@ def q_basket_weight(spark, sf):
     return lines.groupBy(F.col("l_orderkey").alias("order_id")).agg(F.sum(shipping.item_grams(grams, F.col("l_quantity").cast("long"))).alias("grams"))
 
 
-def _basket(spark, sf, some_shops=lambda shops: shops.orderBy("shop_id").limit(8)):
-    """Eight shops, as in the SQL, or others; the first four products that two of them or more have in stock, and the first that none has; derived from the data."""
-    shops = some_shops(views.shops(spark, sf)).select("shop_id", F.lit(True).alias("active"), F.array("country").alias("ships_to")).withColumn("rules", _rules())
+def _basket(spark, sf, country=None, products=lambda held: held.filter("n >= 2").orderBy("n", "product_id").limit(2)):
+    """What a basket asks for, and the candidates of all shops. Its products are the two that the fewest shops have in stock (but two at least), or others, and the first that none has."""
+    shops = views.shops(spark, sf).select("shop_id", F.lit(True).alias("active"), F.array("country").alias("ships_to")).withColumn("rules", _rules())
     offers = views.offers(spark, sf).withColumn("offer_id", F.col("product_id") * 1_000_000 + F.col("shop_id"))
-    near = offers.filter("in_stock").join(F.broadcast(shops.select("shop_id")), "shop_id", "left_semi")
-    some = near.groupBy("product_id").agg(F.countDistinct("shop_id").alias("n"))
-    four = some.filter("n >= 2").orderBy("product_id").limit(4).select("product_id")
-    none = views.products(spark, sf).join(some, "product_id", "left_anti").orderBy("product_id").limit(1).select("product_id")
-    wanted = four.unionByName(none).withColumn("quantity", 1 + F.col("product_id") % 3)
-    return wanted, views.kept(basket.candidates(offers, wanted, shops), "basket")
+    held = views.kept(offers.filter("in_stock").groupBy("product_id").agg(F.countDistinct("shop_id").alias("n")), "held")
+    none = views.products(spark, sf).join(held, "product_id", "left_anti").orderBy("product_id").limit(1).select("product_id")
+    wanted = views.kept(products(held).select("product_id").unionByName(none).withColumn("quantity", 1 + F.col("product_id") % 3), "wanted")
+    return wanted, views.kept(basket.candidates(offers, wanted, shops, country), "basket")
+
+
+def _of_one_shop(spark, sf):
+    """The two products of lowest id that the shop with most in stock has."""
+    sold = views.offers(spark, sf).filter("in_stock")
+    top = sold.groupBy("shop_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "shop_id").limit(1)
+    return lambda held: sold.join(F.broadcast(top), "shop_id", "left_semi").orderBy("product_id").limit(2)
+
+
+def _four(held):
+    """The first four products that two shops or more have."""
+    return held.filter("n >= 2").orderBy("product_id").limit(4)
 
 
 def q_basket_optimal(spark, sf):
-    return basket.optimal(_basket(spark, sf)[1])
+    return basket.best(_basket(spark, sf)[1])
+
+
+def q_basket_parcels(spark, sf):
+    return basket.best_parcels(_basket(spark, sf)[1])
+
+
+def q_basket_savings(spark, sf):
+    return basket.savings(_basket(spark, sf)[1])
 
 
 def q_basket_single(spark, sf):
-    return basket.single_shop(_basket(spark, sf)[1])
+    return basket.single_shop(_basket(spark, sf, products=_of_one_shop(spark, sf))[1])
 
 
 def q_basket_naive(spark, sf):
     return basket.naive(_basket(spark, sf)[1])
 
 
-def q_basket_missing(spark, sf):
-    return basket.missing(*_basket(spark, sf))
+def q_basket_country(spark, sf):
+    return basket.naive(_basket(spark, sf, country="NATION_3", products=_four)[1])
 
 
-def _whole_basket(spark, sf):
-    """The same over all shops."""
-    return _basket(spark, sf, lambda shops: shops)
+def q_basket_missing(spark, sf):
+    return basket.missing(*_basket(spark, sf))
 
 
 def q_basket_all_optimal(spark, sf):
-    return basket.best(_whole_basket(spark, sf)[1])
-
-
-def q_basket_all_single(spark, sf):
-    return basket.single_shop(_whole_basket(spark, sf)[1])
+    """Four common products: as a rule more than 16 shops."""
+    return basket.best(_basket(spark, sf, products=_four)[1])
 
 
 def q_basket_all_naive(spark, sf):
-    return basket.naive(_whole_basket(spark, sf)[1])
-
-
-def q_basket_all_missing(spark, sf):
-    return basket.missing(*_whole_basket(spark, sf))
+    return basket.naive(_basket(spark, sf, products=_four)[1])
 
 
 def q_price_history(spark, sf):
@@ -285,16 +295,16 @@ def q_score(spark, sf):
 
 def _matched(spark, sf):
     prepared = _keyed(spark, sf)
-    return prepared, resolve.match(prepared, set(views.TITLE_VOCABULARY.canonical), prepared.count(), views.folder(spark, "match"))
+    return prepared, resolve.match(prepared, set(views.TITLE_VOCABULARY.canonical), prepared.count(), views.kept, views.folder(spark, "match"))
 
 
 def q_match(spark, sf):
-    return _matched(spark, sf)[1]
+    return _matched(spark, sf)[1].select("offer_id", "product_offer", "score")
 
 
 def q_products(spark, sf):
     prepared, matched = _matched(spark, sf)
-    return resolve.products_of(views.kept(matched, "matched"), prepared)
+    return resolve.products_of(views.kept(matched, "matched"), prepared, views.kept).select("product_id", "product_offer", "slug", "name", "brand", "match_core", "offers")
 
 
 def _categorised(spark, sf):
@@ -310,6 +320,12 @@ def q_nonproduct(spark, sf):
     return views.table(spark, sf, "documents").select("doc_id", text.is_product(F.col("text")).alias("is_product"))
 
 
+def q_inspect_titles(spark, sf):
+    """All that is read from each title, side by side."""
+    t = _categorised(spark, sf)
+    return t.select("offer_id", "title", "brand", F.array_join("tokens", " ").alias("tokens"), "size.base_value", "size.multipack", text.match_key(F.col("brand"), F.col("tokens"), F.col("tag")).alias("match_key"), "category")
+
+
 def q_audit_category(spark, sf):
     return audit.shares(_categorised(spark, sf))
 
@@ -324,9 +340,15 @@ def q_audit_price(spark, sf):
     return audit.price_audit(stored, live, ["product_id", "shop_id"]).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+def q_audit_sample(spark, sf):
+    """Two products of each shop, drawn by hash: the sample of the price audit."""
+    stored = views.offers(spark, sf).select(F.col("product_id").alias("offer_id"), "shop_id", "price")
+    return audit.sample(stored, 2, seed=1).select("shop_id", "offer_id", "price")
+
+
 def q_url_filter(spark, sf):
     links = views.table(spark, sf, "pages").select(F.col("page_id").alias("position"), "url")
-    return html.product_urls(links, HOST, "^/(en|fr|de|es)/", (r"\.html$",))
+    return html.product_urls(links, HOST, "/(en|fr|de|es)/", (r"\.html$",))
 
 
 def q_external_id(spark, sf):
@@ -396,6 +418,11 @@ def q_shop_status(spark, sf):
     return ingest.counters_by_shop(ingest.upsert(*_fetches(spark, sf)))
 
 
+def q_status_ok(spark, sf):
+    """The shops whose last run went well, by their status lines."""
+    return q_shop_status(spark, sf).filter(F.col("status").like("ok:%")).select("shop_id", "status")
+
+
 def q_reset_matches(spark, sf):
     rows = views.offers(spark, sf).withColumns({"match_locked": F.col("shop_id") % 5 == 0, "match_score": F.lit(1.0)})
     return resolve.reset(rows).groupBy("match_locked").agg(F.count("product_id").alias("matched"), F.count("match_score").alias("scored"), F.count("*").alias("n"))

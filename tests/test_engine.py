@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -101,8 +102,7 @@ def test_basket_over_all_shops(spark, sf, monkeypatch):
     plans = [x for n in range(1, len(shops) + 1) for c in itertools.combinations(shops, n) if (x := plan(c))]
     assert rows("q_basket_all_optimal") == text(min(plans, key=lambda x: (round(x[0], 2), len(x[1]), x[1])))
     assert rows("q_basket_all_naive") == text(plan(shops))
-    assert rows("q_basket_all_single") == text(min((x for s in shops if (x := plan([s]))), default=None))
-    assert rows("q_basket_all_missing") == [(p, 1 + p % 3) for p in unsold]
+    assert rows("q_basket_missing") == [(p, 1 + p % 3) for p in unsold]
     kept, again = list(shops), True
     while again:
         again = False
@@ -115,6 +115,23 @@ def test_basket_over_all_shops(spark, sf, monkeypatch):
     assert rows("q_basket_all_optimal") == text(plan(kept))
 
 
+def test_basket_in_other_currencies_and_countries(spark):
+    flat = {**RULES, "free_over": 25.0, "methods": [{"name": "x", "transit_days": [1], "estimated": None, "bands": [{"max_kg": 1e6, "price": 2.0}]}]}
+    shops = spark.createDataFrame([(1, True, ["PL"], "PLN", flat), (2, True, ["DE", "PL"], "EUR", flat), (3, False, ["PL"], "PLN", flat), (4, True, ["DE"], "PLN", None)], f"shop_id long, active boolean, ships_to array<string>, currency string, rules {shipping.RULES}")
+    rows = [(1, 10, 1, 50.0, "PLN", True), (2, 10, 2, 10.0, "EUR", True), (3, 10, 2, 12.0, "EUR", True), (4, 10, 3, 1.0, "PLN", True), (5, 10, 4, 2.0, "PLN", True), (6, 11, 2, 5.0, "EUR", False)]
+    offers = spark.createDataFrame(rows, "offer_id long, product_id long, shop_id long, price double, currency string, in_stock boolean").withColumn("weight_grams", F.lit(100))
+    wanted = basket.quantities(spark.createDataFrame([(10, 1), (10, 1), (11, 0)], "product_id long, quantity long"))
+    found = basket.candidates(offers, wanted, shops, "PL")
+    assert sorted((r["shop_id"], r["price"], r["rate"], r["quantity"]) for r in found.collect()) == [(1, 50.0, 1.0, 2), (2, 42.7, 4.27, 2)]
+    assert [(r["product_id"], r["quantity"]) for r in basket.missing(wanted, found).collect()] == [(11, 1)]
+    # 20 EUR of goods are short of the shop's own 25 EUR, so its 2 EUR fee counts: 93.94, against 100 free of fees
+    (parcel,) = basket.best_parcels(found).collect()
+    assert (parcel["shop_id"], parcel["goods"], parcel["shipping"], parcel["total"], parcel["to_free"], parcel["free"]) == (2, 85.4, 8.54, 93.94, 21.35, False)
+    saved = basket.savings(found).first()
+    assert (saved["cost"], saved["saved_apart"], saved["saved_alone"], saved["max_days"]) == (93.94, 0.0, 0.0, 3)
+    assert {r["shop_id"] for r in basket.candidates(offers, wanted, shops, "DE").collect()} == {2, 4}
+
+
 def test_upsert_delists_and_keeps(spark):
     ddl = "shop_id long, external_id string, title string, price double, in_stock boolean"
     old = spark.createDataFrame([(1, "a", "A", 1.0, True), (1, "b", "B", 2.0, True), (1, "c", "C", 3.0, False)], ddl)
@@ -130,35 +147,126 @@ def test_placeholders(spark, prices, flagged):
 
 
 def test_lcs_ratio():
-    def slow(a, b):
-        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, j in itertools.product(range(len(a)), range(len(b))):
-            t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
-        return 2 * t[-1][-1] / (len(a) + len(b)) if a or b else 1.0
-
     rnd = random.Random(1)
     for _ in range(300):
         a, b = ("".join(rnd.choices("abc ", k=rnd.randint(0, 9))) for _ in range(2))
-        assert resolve.lcs_ratio(a, b) == slow(a, b)
-
-
-def test_staged_matching_equals_one_loop(spark, tmp_path):
-    rnd = random.Random(2)
-    words = ["rice", "red", "basmati", "long", "sella", "hot", "sauce", "garlic", "gold"]
-    rows = [(i, i % 3, " ".join([rnd.choice(["tata", "trs", "zzz"]), *rnd.sample(words, rnd.randint(1, 3)), rnd.choice(["1kg", "2kg", "", "500g"])]), None) for i in range(120)]
-    raw = spark.createDataFrame(rows, "offer_id long, shop_id long, title string, vendor string")
+        assert resolve.lcs_ratio(a, b) == lcs(a, b)
+
+
+HARD = ["hot mild medium extrahot", "white brown red green black yellow pink blue", "damaged broken cracked", "multigrain multigrains buckwheat ragi bajra jowar", "sweet salted unsalted sour plain spicy", "raw roasted fried boiled steamed", "organic regular", "frozen fresh dried canned", "mayo mayonnaise satay teriyaki hoisin oyster ketchup curry peri wasabi sesame honey"]
+SOFT = ["whole ground powder seed crushed flake"]
+
+
+def lcs(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+    return 2 * t[-1][-1] / (len(a) + len(b)) if a or b else 1.0
+
+
+def by_the_rules(o, p, idf, canonical, rare):
+    """The score of a listing against a product, from the definition: (brand, tokens, value, unit) each."""
+    (brand, tokens, value, unit), (p_brand, p_tokens, p_value, p_unit) = o, p
+    a, b = set(tokens), set(p_tokens)
+    w = lambda ts: sum(idf.get(t, 8.0) for t in ts)
+    if brand and p_brand and brand != p_brand or value and p_value and (unit != p_unit or abs(value - p_value) > 0.02 * max(value, p_value)):
+        return 0.0
+    less, hard = 0.0, False
+    for group, off in [(g, 0.15) for g in HARD] + [(g, 0.08) for g in SOFT]:
+        x, y = a & set(group.split()), b & set(group.split())
+        if x and y and x != y:
+            return 0.0
+        if bool(x) != bool(y):
+            less, hard = less + off, hard or off == 0.15
+    name = 0.5 * lcs(" ".join(sorted(a)), " ".join(sorted(b))) + 0.5 * (w(a & b) / w(a | b) if a and b and w(a | b) else 0.0) - less
+    if not hard and brand and brand == p_brand and value and p_value and a and b:
+        few, many = (a, b) if len(a) <= len(b) else (b, a)
+        if not any(t not in canonical and idf.get(t, 8.0) >= rare for t in many - few) and w(few):
+            name = max(name, w(few & many) / w(few) - less)
+    name += 0.08 if brand and brand == p_brand else -0.06 if bool(brand) != bool(p_brand) else 0
+    name += 0.06 if value and p_value else -0.10 if bool(value) != bool(p_value) else 0
+    return max(0.0, min(1.0, name))
+
+
+def block(brand, tokens, tag, idf):
+    top = sorted(tokens, key=lambda t: -idf.get(t, 10.0))[:4]
+    keys = [f"b:{brand}|{tag}"] if brand else []
+    for t in top:
+        keys += [f"t:{t}|{tag}"] + ([f"bt:{brand}:{t}|{tag}"] if brand else [])
+    return keys or [f"_|{tag}"]
+
+
+def tag_of(value, unit):
+    return f"{value:g}{unit}" if value and unit else "_"
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_matching_equals_the_one_loop(spark, tmp_path, seed):
+    rnd = random.Random(seed)
+    words = ["rice", "red", "basmati", "long", "sella", "hot", "sauce", "garlic", "gold", "whole", "wheat", "flour", "atta", "sharbati", "powder"]
+    rows = [(i, i % 3, " ".join([rnd.choice(["tata", "trs", ""]), *rnd.sample(words, rnd.randint(1, 4)), rnd.choice(["1kg", "2kg", "", "500g", "1010g", "3 x 1kg"])]).strip(), None, rnd.choice([None, 1000, 500])) for i in range(160)]
+    raw = spark.createDataFrame(rows, "offer_id long, shop_id long, title string, vendor string, grams int")
+    there = [(7, "tata", "atta wheat", 1.0, "kg"), (8, None, "basmati rice", None, None), (9, "trs", "garlic sauce", 0.5, "kg")]
+    products = spark.createDataFrame(there, "product_id long, brand string, match_core string, size_value double, base_unit string")
     v = Vocabulary()
-    titles = views.parse_titles(raw, v)
-    prepared = resolve.prepare(titles, resolve.document_frequency(titles))
-    n = titles.count()
-    staged = {r["offer_id"]: r["product_offer"] for r in resolve.match(prepared, set(v.canonical), n, f"file://{tmp_path}/m").collect()}
-    given = sorted((r.asDict(recursive=True) for r in prepared.collect()), key=lambda r: (r["shop_id"], r["title"], r["offer_id"]))
+    titles = views.kept(views.parse_titles(raw, v), "titles")
+    frequency = resolve.document_frequency(titles)
+    prepared = views.kept(resolve.prepare(titles, frequency, "grams"), "prepared")
+    n, canonical = prepared.count(), set(v.canonical)
+    matched = resolve.match(prepared, canonical, n, views.kept, f"file://{tmp_path}/m", resolve.existing_products(products, frequency))
+    got = {r["offer_id"]: (r["product_offer"], r["product_id"], r["score"]) for r in matched.collect()}
+    given = sorted(prepared.collect(), key=lambda r: (r["shop_id"], r["title"], r["offer_id"]))
     idf = {t["token"]: t["idf"] for r in given for t in r["weighed"]}
-    import math
-
-    loop = resolve.lead(given, resolve.Scorer(idf, set(v.canonical), math.log(max(n, 4) / 4)))
-    assert staged == {a: b for a, b, _ in loop}
-    assert len(set(staged.values())) < len(staged)
+    rare = math.log(max(n, 4) / 4)
+    index = {}
+    for i, brand, text, value, unit in there:
+        for key in block(brand, sorted(text.split()), tag_of(value, unit), idf):
+            index.setdefault(key, []).append((("there", i), (brand, text.split(), value, unit)))
+    want, grams = {}, {r[0]: r[4] for r in rows}
+    for r in given:
+        me = (r["brand"], r["tokens"], r["base_value"], r["base_unit"])
+        best = None
+        for key in block(r["brand"], r["tokens"], tag_of(r["base_value"], r["base_unit"]), idf):
+            for who, p in index.get(key, ()):
+                s = by_the_rules(me, p, idf, canonical, rare)
+                if best is None or s > best[0]:
+                    best = (s, who)
+        if best and best[0] >= 0.72:
+            kind, who = best[1]
+            want[r["offer_id"]] = (None, who, pytest.approx(best[0], abs=1e-4)) if kind == "there" else (who, None, pytest.approx(best[0], abs=1e-4))
+        else:
+            want[r["offer_id"]] = (r["offer_id"], None, 1.0)
+            value, unit = (r["base_value"], r["base_unit"]) if r["base_value"] else (grams[r["offer_id"]] / 1000, "kg") if grams[r["offer_id"]] else (None, None)
+            for key in block(r["brand"], sorted(r["tokens"]), tag_of(value, unit), idf):
+                index.setdefault(key, []).append((("new", r["offer_id"]), (r["brand"], r["tokens"], value, unit)))
+    assert got == want
+    assert sum(x[0] != i for i, x in got.items()) > 20 and any(x[1] for x in got.values())
+    made = resolve.products_of(views.kept(matched, "matched"), prepared, views.kept).orderBy("product_id").collect()
+    starts = [r["offer_id"] for r in given if want[r["offer_id"]][0] == r["offer_id"]]
+    assert [(r["product_id"], r["product_offer"]) for r in made] == list(enumerate(starts, 1))
+    assert len({r["slug"] for r in made}) == len(made) and any("3x1kg" in r["name"] for r in made)
+
+
+def test_cases_of_matching(spark, tmp_path):
+    """Pairs of titles that are, or aren't, one product."""
+    pairs = [
+        ("Aashirvaad Atta 10kg", "Aashirvaad Whole Wheat Flour (Atta) 10Kg", True),
+        ("Mąka pszenna razowa Aashirvaad Atta 10 kg", "Aashirvaad Whole Wheat Flour (Atta) 10Kg", True),
+        ("Heera Toor Dal 1kg", "TRS Toor Dal 1kg", False),
+        ("Heera Toor Dal 1kg", "Heera Toor Dal 2kg", False),
+        ("TRS Madras Curry Powder Mild 100g", "TRS Madras Curry Powder Hot 100g", False),
+        ("TRS Chickpeas 1kg", "TRS Brown Chickpeas 1kg", False),
+        ("India Gate Sona Masoori Rice 5kg", "India Gate Sona Masoori Rice 5kg X3 COMBO", False),
+        ("Heera Premium Quality Authentic Indian Toor Dal 1kg", "Heera Toor Dal 1kg", True),
+    ]
+    v = Vocabulary()
+    noise = [(1000 + i, 9, f"Filler{i % 40} item{i} 7kg", None) for i in range(200)]
+    for k, (one, two, same) in enumerate(pairs):
+        raw = spark.createDataFrame([(1, 1, one, None), (2, 2, two, None), *noise], "offer_id long, shop_id long, title string, vendor string")
+        titles = views.kept(views.parse_titles(raw, v), "titles")
+        prepared = resolve.prepare(titles, resolve.document_frequency(titles))
+        found = {r["offer_id"]: r["product_offer"] for r in resolve.match(prepared, set(v.canonical), 202, views.kept, f"file://{tmp_path}/{k}").collect()}
+        assert (found[2] == found[1]) == same, (one, two)
 
 
 def test_components(spark, tmp_path):
@@ -182,21 +290,47 @@ PAGE = """<html><head><meta property="og:image" content="http://x/i.png"><script
 
 
 def test_jsonld_and_selectors(spark):
-    got = html.from_jsonld(PAGE)
+    (got,) = spark.createDataFrame([(PAGE,)], "h string").select(html.jsonld(F.col("h")).alias("p")).select("p.*").collect()
+    assert (got["name"], got["price"]) == (None, 12.5)  # no block of its own has the @id, so each product stands alone
+    script = '<script type="application/ld+json">%s</script>'
+    split = script % '{"@id": "#p", "@type": "Product", "name": "Rice &amp; more"}' + script % '{"@id": "#p", "@type": "http://schema.org/Product", "brand": {"name": "TRS"}, "offers": {"price": "12,50", "priceCurrency": "PLN", "availability": "http://schema.org/Out_Of_Stock"}}' + '<h1>Other <b>title</h1><span class="price">7.00</span>'
+    (got,) = spark.createDataFrame([(split,)], "h string").select(html.jsonld(F.col("h")).alias("p")).select("p.*").collect()
     assert (got["name"], got["price"], got["in_stock"], got["brand"]) == ("Rice & more", 12.5, False, "TRS")
-    assert html.from_jsonld(None) is None and html.from_jsonld("<script type='application/ld+json'>{oops</script>") is None
+    # fragments of one @id need no type; a list of offers beats one offer that came first
+    untyped = '<script type="application/ld+json">{"@id": "#p", "name": "Dal", "offers": {"shippingDetails": {"x": 1}}}</script><script type="application/ld+json">{"@id": "#p", "name": "", "offers": [{"price": "1 234,50 zł", "availability": "InStock"}]}</script>'
+    (got,) = spark.createDataFrame([(untyped,)], "h string").select(html.jsonld(F.col("h")).alias("p")).select("p.*").collect()
+    assert (got["name"], got["price"], got["in_stock"]) == ("Dal", 1234.5, True)
+    assert html.from_jsonld(None) == [] and html.from_jsonld("<script type='application/ld+json'>{oops</script>") == []
+    assert html.stitched([{"a": {"b": 1}, "c": "", "@context": 1}, {"a": {"b": 2, "d": []}, "c": "x"}, {"a": {"d": [3]}}]) == {"a": {"b": 1, "d": [3]}, "c": "x"}
     assert html.select(PAGE, [".price"]) == "7.00" and html.select("", ["h1"]) is None
-    pages = spark.createDataFrame([(1, "http://s/rice-500g", PAGE), (2, "http://s/x-250g", "<h1>Dal</h1><i class=price>3,00 zł</i>"), (3, "http://s/", None)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "http://s/rice-500G", split), (2, "http://s/x-250g", "<h1>Dal</h1><i class=price>3,00 zł</i>"), (3, "http://s/", None)], "page_id long, url string, html string")
     rows = {r["page_id"]: r for r in html.extract(pages, ["h1"], [".price"]).collect()}
-    assert rows[1]["price"] == 12.5 and rows[2]["title"] == "Dal 250g" and rows[2]["price"] == 3.0 and 3 not in rows
+    assert rows[1]["price"] == 12.5 and rows[1]["title"] == "Rice & more 500g" and rows[2]["title"] == "Dal 250g" and rows[2]["price"] == 3.0 and 3 not in rows
 
 
 def test_urls(spark):
     long = "http://h/" + "a" * 150
-    got = [r[0] for r in spark.createDataFrame([("https://h/p/x?q=1#f",), ("http://h",), (long,)], "u string").coalesce(1).select(html.external_id(F.col("u"))).collect()]
-    assert got[:2] == ["/p/x", "/"] and len(got[2]) == 110
+    got = [r[0] for r in spark.createDataFrame([("https://h/p/x/?q=1#f",), ("http://h",), (long,)], "u string").coalesce(1).select(html.external_id(F.col("u"))).collect()]
+    assert got[:2] == ["p/x", "http://h"] and len(got[2]) == 110
     links = spark.createDataFrame([(0, "http://h/p/a?x"), (1, "https://h/p/a"), (2, "http://h/"), (3, "http://h/q/b")], "position long, url string")
-    assert [r["url"] for r in html.product_urls(links, "https://s", "^/p/").collect()] == ["https://s/p/a"]
+    assert [r["url"] for r in html.product_urls(links, "https://s/", "s/p/").collect()] == ["https://s/p/a"]
+
+
+def test_discovery(spark):
+    loc = lambda *urls: "".join(f"<loc> {u} </loc>" for u in urls)
+    landed = [
+        ("https://s/sitemap.xml", f"<sitemapindex>{loc('https://s/b.xml', 'https://s/a.xml', 'https://s/lost.xml')}</sitemapindex>"),
+        ("https://s/a.xml", f"<urlset>{loc('http://s/p/1', 'https://s/p/2?x', 'https://s/')}</urlset>"),
+        ("https://s/b.xml", f"<sitemapindex>{loc('https://s/c.xml')}</sitemapindex>"),
+        ("https://s/c.xml", f"<urlset>{loc('https://s/p/2', 'https://s/blog/3')}</urlset>"),
+        ("https://s/c/rice", '<a href="/p/9?ref=1"> <a href="https://s/p/8#top"> <a href="https://t/p/7"> <a href="/c/dal">'),
+        ("https://s/c/dal?page=2", '<a href="p/9">'),
+    ]
+    df = spark.createDataFrame(landed, "url string, body string")
+    walk = [r["url"] for r in html.discover(df, "https://s/", {"exclude_patterns": ["/blog/"]}).orderBy("position").collect()]
+    assert walk == ["https://s/p/2", "https://s/p/1"]
+    assert [r["url"] for r in html.discover(df, "https://s", {"discovery": "categories"}).orderBy("position").collect()] == ["https://s/p/8", "https://s/p/9"]
+    assert html.discover(df, "https://s", {"max_products": 1}).count() == 1
 
 
 def test_registry(spark):
