@@ -39,6 +39,8 @@ from cartmill.llm.wordhash import Words, chunks, mix64
 BEGIN, END = np.uint64(0xB0B0B0B0B0B0B0B1), np.uint64(0xE0E0E0E0E0E0E0E1)
 SALT = np.uint64(0xA24BAED4963EE407)
 TOKENS_PER_BUCKET = 3_000_000
+#: Buckets of words follow the bytes of text, which bound their number.
+BYTES_PER_WORD_BUCKET = 24 << 20
 FLUSH_TOKENS = 3_000_000
 SCORE_BYTES = 1 << 21
 
@@ -229,7 +231,8 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     system, path = pafs.FileSystem.from_uri(folder)
     system.create_dir(path)
     texts = docs.select(text)
-    n_words = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    n_words = max(8, math.ceil(size / BYTES_PER_WORD_BUCKET))
     deal(texts.mapInArrow(_count_words(n_words), ROWS), n_words).mapInArrow(_merge_words, f"{ROWS}, types long, total long").write.parquet(f"{folder}/words")
     words = spark.read.parquet(f"{folder}/words")
     types, total = (int(x or 0) for x in words.agg(F.sum("types"), F.sum("total")).first())
