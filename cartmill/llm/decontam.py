@@ -137,18 +137,15 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     return true.groupBy(*KEYS, "item_id").agg(best.alias("best")).select(*KEYS, "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.minus")).alias("first_word"))
 
 
-def _same_row() -> Column:
-    own = row_keys()
-    return (own["__key"] == F.col("__bad")) & (own["__key2"] == F.col("__bad2"))
-
-
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that no item contaminates, with all their columns."""
-    bad = matches(docs, items).select(F.col("__key").alias("__bad"), F.col("__key2").alias("__bad2")).distinct()
-    return docs.join(bad, _same_row(), "left_anti")
+    """The documents that no item contaminates, with all their columns. Texts are not shuffled unless what goes is too much to broadcast."""
+    folder = scratch(docs.sparkSession, "decontam-bad")
+    matches(docs, items).select(F.col("__key").alias("__bad"), F.col("__key2").alias("__bad2")).distinct().write.parquet(folder)
+    bad, own = docs.sparkSession.read.parquet(folder), row_keys()
+    return docs.join(_checked(bad, bad.count()), (own["__key"] == F.col("__bad")) & (own["__key2"] == F.col("__bad2")), "left_anti")
 
 
 def match_report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, similarity and first_word of every document and item that match; equal documents are each in it."""
-    found = matches(docs, items).withColumnsRenamed({"__key": "__bad", "__key2": "__bad2"})
-    return docs.select("doc_id", "text").join(found, _same_row()).select("doc_id", "item_id", "similarity", "first_word")
+    keyed = docs.select("doc_id", *[c.alias(k) for k, c in row_keys().items()])
+    return keyed.join(matches(docs, items), KEYS).select("doc_id", "item_id", "similarity", "first_word")
