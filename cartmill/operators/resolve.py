@@ -210,9 +210,10 @@ def scored_pairs(prepared: DataFrame, canonical: set[str], n_titles: int, existi
     pairs = pairs.groupBy("offer_id", "leader").agg(F.min("place").alias("place"))
     both = pairs.join(leads, "leader").join(facts.select(F.col("id").alias("offer_id"), "o"), "offer_id")
     o, p = F.col("o"), F.col("p")
-    able = both.filter(~_rejects(o, p) & (name_score(o, p, F.lit(1.0), canonical, rare) >= MATCH_THRESHOLD))
+    able = both.filter(~_rejects(o, p) & (name_score(o, p, F.lit(1.0), canonical, rare) >= MATCH_THRESHOLD - 1e-8))
     named = able.withColumn("ratio", sorted_ratio(core(_names(o["weighed"])), core(_names(p["weighed"]))))
-    return named.select("offer_id", "leader", "place", name_score(o, p, F.col("ratio"), canonical, rare).alias("score")).filter(F.col("score") >= MATCH_THRESHOLD)
+    # sums differ in their last bits with the order of tokens; equal scores must be equal
+    return named.select("offer_id", "leader", "place", F.round(name_score(o, p, F.col("ratio"), canonical, rare), 9).alias("score")).filter(F.col("score") >= MATCH_THRESHOLD)
 
 
 def lead(edges: pd.DataFrame) -> list[tuple[int, int, float]]:

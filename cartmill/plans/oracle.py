@@ -79,7 +79,36 @@ two AS (SELECT first || ' ' || second AS brand FROM w GROUP BY first, second HAV
   AND first NOT IN (SELECT brand FROM one) AND first NOT IN (SELECT t FROM seed))
 SELECT brand, max(source) AS source FROM (SELECT brand, 'unigram' AS source FROM one UNION ALL SELECT brand, 'bigram' FROM two UNION ALL SELECT t, 'seed' FROM seed) GROUP BY brand HAVING max(source) <> 'seed'"""
 
+#: Twice the longest common subsequence over both lengths: one bit a letter of the first text, one step a letter of the second.
+LIKENESS = """cores AS (SELECT offer_id, array_to_string(list_sort(tokens), ' ') AS core FROM titles),
+letters AS (SELECT core, unnest(string_split(core, '')) AS c, unnest(range(length(core))) AS i FROM (SELECT DISTINCT core FROM cores)),
+places AS (SELECT core, map(list(c), list(m)) AS marks FROM (SELECT core, c, sum(CAST(1 AS HUGEINT) << CAST(i AS HUGEINT))::HUGEINT AS m FROM letters GROUP BY core, c) GROUP BY core),
+alike AS (SELECT ca, cb, 2.0 * (length(ca) - bit_count(list_reduce(list_prepend(every, list_transform(string_split(cb, ''), lambda c: coalesce(marks[c], CAST(0 AS HUGEINT)))), lambda r, h: ((r + (r & h)) | (r - (r & h))) & every))) / (length(ca) + length(cb)) AS ratio
+  FROM (SELECT ca, cb, marks, ((CAST(1 AS HUGEINT) << CAST(length(ca) AS HUGEINT)) - 1)::HUGEINT AS every FROM (SELECT DISTINCT x.core AS ca, y.core AS cb FROM {pairs} JOIN cores x ON x.offer_id = a JOIN cores y ON y.offer_id = b) JOIN places ON places.core = ca)),
+mass AS (SELECT offer_id, sum(idf) AS total FROM words JOIN idf USING (token) GROUP BY offer_id), common AS (SELECT a, b, sum(idf) AS c FROM {pairs} JOIN words x ON x.offer_id = a JOIN words y ON y.offer_id = b AND x.token = y.token JOIN idf ON idf.token = x.token GROUP BY a, b)"""
+#: The titles at hand all have a brand and a size, so whatever shares a key and isn't rejected shares both; of the words that tell variants they have hot, red and blue.
+MATCH = f"""WITH RECURSIVE {TITLES}, {IDF}, words AS (SELECT offer_id, unnest(tokens) AS token FROM titles),
+listed AS (SELECT t.*, row_number() OVER (ORDER BY t.shop_id, said.title, t.offer_id) AS n FROM titles t JOIN said ON said.offer_id = t.offer_id),
+near AS (SELECT o.offer_id AS a, p.offer_id AS b, o.tokens AS ta, p.tokens AS tb, p.n AS pn FROM listed o JOIN listed p ON o.brand = p.brand AND o.tag = p.tag AND p.n < o.n), {LIKENESS.replace("{pairs}", "near")},
+told_apart AS (SELECT near.*, ratio, coalesce(c, 0.0) AS c, ma.total AS wa, mb.total AS wb, list_contains(ta, 'hot') <> list_contains(tb, 'hot') AS hot, list_has_any(ta, ['red', 'blue']) <> list_has_any(tb, ['red', 'blue']) AS colour,
+  list_has_any(ta, ['red', 'blue']) AND list_has_any(tb, ['red', 'blue']) AND list_sort(list_intersect(ta, ['red', 'blue'])) <> list_sort(list_intersect(tb, ['red', 'blue'])) AS other
+  FROM near JOIN cores x ON x.offer_id = near.a JOIN cores y ON y.offer_id = near.b JOIN alike ON ca = x.core AND cb = y.core LEFT JOIN common ON common.a = near.a AND common.b = near.b JOIN mass ma ON ma.offer_id = near.a JOIN mass mb ON mb.offer_id = near.b),
+scored AS (SELECT a, b, pn, round(least(1.0, greatest(0.0, greatest(0.5 * ratio + 0.5 * c / (wa + wb - c) - 0.15 * (hot::INT + colour::INT), CASE WHEN NOT hot AND NOT colour THEN c / CASE WHEN len(ta) <= len(tb) THEN wa ELSE wb END ELSE 0.0 END) + 0.08 + 0.06)), 9) AS score FROM told_apart WHERE NOT other),
+edges AS MATERIALIZED (SELECT * FROM scored WHERE score >= 0.72),
+involved AS MATERIALIZED (SELECT offer_id, ways, row_number() OVER (ORDER BY n) AS k FROM listed LEFT JOIN (SELECT a, list({{'score': score, 'leader': b}} ORDER BY score DESC, pn) AS ways FROM edges GROUP BY a) ON a = offer_id WHERE offer_id IN (SELECT a FROM edges UNION SELECT b FROM edges)),
+walk AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS leaders, CAST(NULL AS BIGINT) AS offer_id, CAST(NULL AS BIGINT) AS joined, CAST(NULL AS DOUBLE) AS score
+  UNION ALL SELECT k, CASE WHEN hit IS NULL THEN list_append(leaders, offer_id) ELSE leaders END, offer_id, hit.leader, hit.score FROM (SELECT o.k, w.leaders, o.offer_id, list_filter(ways, lambda x: list_contains(w.leaders, x.leader))[1] AS hit FROM walk w JOIN involved o ON o.k = w.k + 1)),
+matched AS MATERIALIZED (SELECT listed.offer_id, coalesce(joined, listed.offer_id) AS product_offer, coalesce(round(score, 4), 1.0) AS score FROM listed LEFT JOIN walk ON walk.offer_id = listed.offer_id)"""
+NAMED = """heads AS (SELECT product_offer, count(*) AS offers FROM matched GROUP BY product_offer),
+named AS (SELECT row_number() OVER (ORDER BY n) AS product_id, product_offer, offers, l.brand, array_to_string(list_sort(l.tokens), ' ') AS match_core, upper(l.brand[1]) || l.brand[2:] || ' ' || array_to_string(list_transform(l.tokens, lambda t: upper(t[1]) || t[2:]), ' ') || ' ' || CASE WHEN l.multipack > 1 THEN l.multipack || 'x' ELSE '' END || v || unit AS name FROM heads JOIN listed l ON l.offer_id = product_offer JOIN told ON told.offer_id = product_offer),
+slugged AS (SELECT *, trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') AS s FROM named)"""
+PAGE_TEXT = "regexp_extract(html, '<h1>(.*?)</h1>', 1)"
+
 SQL = {
+    "q_score": f"WITH {TITLES}, {IDF}, {KEYS}, {LIKENESS.replace('{pairs}', 'pairs')} SELECT pairs.a, pairs.b, round(0.5 * ratio + 0.5 * coalesce(c, 0.0) / (ma.total + mb.total - coalesce(c, 0.0)), 6) AS name_score FROM pairs JOIN cores x ON x.offer_id = pairs.a JOIN cores y ON y.offer_id = pairs.b JOIN alike ON ca = x.core AND cb = y.core LEFT JOIN common ON common.a = pairs.a AND common.b = pairs.b JOIN mass ma ON ma.offer_id = pairs.a JOIN mass mb ON mb.offer_id = pairs.b",
+    "q_match": f"{MATCH} SELECT offer_id, product_offer, score FROM matched",
+    "q_products": f"{MATCH}, {NAMED} SELECT product_id, product_offer, CASE WHEN nth = 1 THEN s ELSE s || '-' || nth END AS slug, name, brand, match_core, offers FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY product_id) AS nth FROM slugged)",
+    "q_html_offers": f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Item ' || page_id ELSE trim(regexp_replace(replace(replace(replace({PAGE_TEXT}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) END AS title, CASE page_id % 3 WHEN 0 THEN page_id + 0.25 WHEN 1 THEN page_id + 0.5 END::DOUBLE AS price, NOT (page_id % 3 = 0 AND page_id % 2 = 0) AS in_stock, CASE WHEN page_id % 3 = 1 THEN 'http://x/' || page_id || '.png' END AS image FROM pages",
     "q_search_price": f"{RANKED} SELECT * FROM ranked ORDER BY min_price NULLS LAST, product_id LIMIT 48",
     "q_search_unit": f"{RANKED} SELECT * FROM ranked ORDER BY min_unit NULLS LAST, product_id LIMIT 48",
     "q_search_name": f"{RANKED} SELECT * FROM ranked ORDER BY lower(name), product_id LIMIT 48",

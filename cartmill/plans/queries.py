@@ -312,6 +312,11 @@ def _categorised(spark, sf):
     return t.withColumn("subcategory", taxonomy.subcategory(F.col("category"), F.col("tokens")))
 
 
+def _audited(spark, sf):
+    """Titles' tokens and categories, read once: a filter on them would otherwise read the titles anew."""
+    return views.kept(_categorised(spark, sf).select("offer_id", "tokens", "category"), "categorised")
+
+
 def q_category(spark, sf):
     return _categorised(spark, sf).select("offer_id", "category", taxonomy.label(F.col("category")).alias("label"), "subcategory")
 
@@ -327,11 +332,11 @@ def q_inspect_titles(spark, sf):
 
 
 def q_audit_category(spark, sf):
-    return audit.shares(_categorised(spark, sf))
+    return audit.shares(_audited(spark, sf))
 
 
 def q_audit_tokens(spark, sf):
-    return audit.top_tokens(_categorised(spark, sf))
+    return audit.top_tokens(_audited(spark, sf))
 
 
 def q_audit_price(spark, sf):
@@ -367,8 +372,20 @@ def q_html_extract(spark, sf):
     return views.table(spark, sf, "pages").select("page_id", html.heading(F.col("html")).alias("heading"))
 
 
+def _shop_pages(spark, sf):
+    """The pages as a shop's: a third with JSON-LD in two fragments, a third with a price element and an image, the others without a price."""
+    pages, n = views.table(spark, sf, "pages"), F.col("page_id").cast("string")
+    script = lambda *parts: F.concat(F.lit('<script type="application/ld+json">'), *parts, F.lit("</script>"))
+    stock = F.when(F.col("page_id") % 2 == 0, "http://schema.org/Out_Of_Stock").otherwise("http://schema.org/InStock")
+    head = script(F.lit('{"@id": "#p", "name": "Item '), n, F.lit('", "offers": {"shippingDetails": {"rate": 1}}}'))
+    tail = script(F.lit('{"@id": "#p", "name": "", "offers": [{"price": "'), n, F.lit(',25", "priceCurrency": "PLN", "availability": "'), stock, F.lit('"}]}'))
+    shown = F.concat(F.lit('<span class="price">'), n, F.lit(',50 zł</span><meta property="og:image" content="http://x/'), n, F.lit('.png">'))
+    more = F.when(F.col("page_id") % 3 == 0, F.concat(head, tail)).when(F.col("page_id") % 3 == 1, shown).otherwise("")
+    return pages.withColumn("html", F.concat("html", more))
+
+
 def q_html_offers(spark, sf):
-    return html.extract(views.table(spark, sf, "pages"), ["h1", "title"], [".price", "meta[itemprop=price]"]).select("page_id", "title", "price", "in_stock", "image")
+    return html.extract(_shop_pages(spark, sf), ["h1", "title"], [".price", "meta[itemprop=price]"]).select("page_id", "title", "price", "in_stock", "image")
 
 
 def q_parse_price(spark, sf):
