@@ -371,16 +371,15 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     folder = scratch(spark, "ngramjoin")
     system, path = pafs.FileSystem.from_uri(folder)
-    system.create_dir(path)
+    system.create_dir(f"{path}/frequent")
     kept = lambda df, name: df.write.parquet(f"{folder}/{name}") or spark.read.parquet(f"{folder}/{name}")
     texts, id_type = docs.select(text), docs.select(doc).schema[0].dataType.simpleString()
     all_sets = kept(docs.select(F.col(doc).alias("doc_id"), text).mapInArrow(_signatures, f"doc_id {id_type}, n_shingles long, sig long"), "signatures")
     total = all_sets.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     n, slots = max(8, math.ceil(total / SHINGLES_PER_BUCKET)), Slots.for_shingles(total)
-    deal(texts.mapInArrow(_counted(slots), ROWS), 1 << slots.bucket_bits).mapInArrow(_frequent(folder), ROWS).count()
-    shared = kept(deal(texts.mapInArrow(_postings(folder, slots, n), ROWS), n).mapInArrow(_shared, "shingle long, sig long, n long, ell long"), "shared")
-    for b in range(1 << slots.bucket_bits):
-        system.delete_file(f"{path}/frequent-{b}")
+    deal(texts.mapInArrow(_counted(slots), ROWS), 1 << slots.bucket_bits).mapInArrow(_frequent(f"{folder}/frequent"), ROWS).count()
+    shared = kept(deal(texts.mapInArrow(_postings(f"{folder}/frequent", slots, n), ROWS), n).mapInArrow(_shared, "shingle long, sig long, n long, ell long"), "shared")
+    system.delete_dir(f"{path}/frequent")
     n_sets = 2 * n
     _keep_sets(spark, texts, shared, folder, n_sets)
 
