@@ -25,8 +25,8 @@ def price_audit(stored: DataFrame, live: DataFrame, keys: list[str]) -> DataFram
 
 
 def sample(stored: DataFrame, per_shop: int, seed: int = 0, key: str = "offer_id") -> DataFrame:
-    """Some rows of each shop, the same for the same seed: those of least hash. Sampling is the feature here."""
-    order = Window.partitionBy("shop_id").orderBy(F.xxhash64(F.lit(seed), key), key)
+    """Some rows of each shop, the same for the same seed: those whose seed and key have the least MD5. Sampling is the feature here."""
+    order = Window.partitionBy("shop_id").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key)
     return stored.withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= per_shop).drop("__rn")
 
 

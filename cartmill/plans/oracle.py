@@ -175,6 +175,7 @@ SQL = {
     "q_store_products": "SELECT CAST(p_partkey AS VARCHAR) AS external_id, p_name || ' & more' AS title, round(p_size * 125 / 100.0::DOUBLE, 2) AS price, 'EUR' AS currency, nullif(p_size * 1000, 0) AS weight_grams FROM part",
     "q_basket_quantities": "SELECT l_partkey AS product_id, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY l_partkey",
     "q_status_ok": f"{UPSERT}, c AS (SELECT shop_id, count(*) FILTER (status IN ('created', 'updated', 'same')) AS fetched, count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'updated') AS price_changes, count(*) FILTER (status = 'delisted') AS delisted FROM merged GROUP BY shop_id) SELECT shop_id, status FROM (SELECT *, 'ok: ' || fetched || ' fetched, ' || created || ' new, ' || price_changes || ' price changes, ' || delisted || ' delisted' AS status FROM c) WHERE status LIKE 'ok:%'",
+    "q_audit_sample": f"WITH {OFFERS} SELECT shop_id, product_id AS offer_id, price FROM (SELECT *, row_number() OVER (PARTITION BY shop_id ORDER BY md5('1:' || product_id), product_id) AS rn FROM offers) WHERE rn <= 2",
     "q_inspect_titles": f"WITH {TITLES} SELECT titles.offer_id, title, brand, array_to_string(tokens, ' ') AS tokens, base_value, multipack, brand || '|' || CASE WHEN len(tokens) = 0 THEN '_' ELSE array_to_string(list_sort(tokens)[1:3], '-') END || '|' || tag AS match_key, {CATEGORY} AS category FROM titles JOIN (SELECT offer_id, title FROM said) t ON t.offer_id = titles.offer_id",
     "q_shop_status": f"{UPSERT}, c AS (SELECT shop_id, count(*) FILTER (status IN ('created', 'updated', 'same')) AS fetched, count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'updated') AS price_changes, count(*) FILTER (status = 'delisted') AS delisted FROM merged GROUP BY shop_id) SELECT *, 'ok: ' || fetched || ' fetched, ' || created || ' new, ' || price_changes || ' price changes, ' || delisted || ' delisted' AS status FROM c",
     "q_reset_matches": f"WITH {OFFERS} SELECT shop_id % 5 = 0 AS match_locked, count(*) FILTER (shop_id % 5 = 0) AS matched, count(*) FILTER (shop_id % 5 = 0) AS scored, count(*) AS n FROM offers GROUP BY 1",
