@@ -45,13 +45,15 @@ def _fold_table() -> tuple[str, str, str, str]:
 def fold(text: Column) -> Column:
     """Without combining marks, in compatibility form, and ł as l; Hangul stays as it is (all letters but ASCII's become spaces when cleaned).
 
-    One translate for all characters that become one or none. Only texts with one that becomes several are taken apart.
+    ASCII stays as it is. One translate for all characters that become one or none; only texts with one that becomes
+    several are taken apart.
     """
     letters, bare, wide, table = _fold_table()
     out = F.translate(text, letters, bare)
     become = F.str_to_map(F.lit(table), F.lit("\0"), F.lit("\1"))
     expanded = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(become, c), c)), "")
-    return F.when(F.length(F.translate(out, wide, "")) < F.length(out), expanded).otherwise(out)
+    folded = F.when(F.length(F.translate(out, wide, "")) < F.length(out), expanded).otherwise(out)
+    return F.when(F.length(text) == F.octet_length(text), text).otherwise(folded)
 
 
 def clean(text: Column) -> Column:

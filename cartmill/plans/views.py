@@ -95,7 +95,11 @@ def raw_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key % 5 == 3, F.concat_ws(" ", "p_name", said, F.concat(size, F.lit("kg, Pack of 4"))))
         .otherwise(F.concat_ws(" ", F.lit("Premium"), "p_name", F.concat(size, F.lit("00g x 2")), said, F.lit("spices")))
     )
-    return table(spark, sf_dir, "part").select(key.alias("offer_id"), (key % 7).alias("shop_id"), title.alias("title"), F.when(key % 3 != 0, maker).alias("vendor"))
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    cores = spark.sparkContext.defaultParallelism
+    if part.rdd.getNumPartitions() < cores:  # parsing titles is dear, and a small file would be one task
+        part = part.repartition(cores)
+    return part.select(key.alias("offer_id"), (key % 7).alias("shop_id"), title.alias("title"), F.when(key % 3 != 0, maker).alias("vendor"))
 
 
 def titles(spark: SparkSession, sf_dir: str, vocabulary: Vocabulary = TITLE_VOCABULARY) -> DataFrame:
