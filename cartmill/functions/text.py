@@ -58,7 +58,12 @@ def fold(text: Column) -> Column:
 
 def clean(text: Column) -> Column:
     """Folded lower case of letters, digits, . , x and -, single spaces."""
-    out = F.regexp_replace(F.lower(fold(text)), "&[a-z]+;", " ")
+    return clean_folded(F.lower(fold(text)))
+
+
+def clean_folded(folded: Column) -> Column:
+    """`clean` of a text that is folded and lower case already: folding is dear where several columns are read from one text."""
+    out = F.regexp_replace(folded, "&[a-z]+;", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^a-z0-9.,×x\s-]", " "), r"\s+", " "))
 
 
@@ -83,7 +88,11 @@ def _size(value: Column, unit: Column, times: Column) -> Column:
 
 def parse_size(text: Column) -> Column:
     """The pack size that a title states, or null: `6 x 70g`, then `5kg x 3`, then `pack of 4` of the largest size, then the largest size."""
-    t = F.lower(fold(F.coalesce(text, F.lit(""))))
+    return parse_folded_size(F.lower(fold(F.coalesce(text, F.lit("")))))
+
+
+def parse_folded_size(t: Column) -> Column:
+    """`parse_size` of a text that is folded and lower case already, not null."""
     one = F.lit(1)
     part = lambda pattern, i: F.nullif(F.regexp_extract(t, pattern, i), F.lit(""))
     front = _size(number(part(MULTIPACK, 2)), part(MULTIPACK, 3), part(MULTIPACK, 1).cast("int"))
@@ -102,9 +111,13 @@ def _words(text: Column) -> Column:
 
 def extract_brand(cleaned: Column, vendor: Column, brands: tuple[str, ...] = BRANDS) -> Column:
     """Longest brand of several words at word boundaries, else the first of the words that are brands, else the vendor or a brand of several words in it."""
+    return brand_of(cleaned, clean(F.coalesce(vendor, F.lit(""))), brands)
+
+
+def brand_of(cleaned: Column, maker: Column, brands: tuple[str, ...] = BRANDS) -> Column:
+    """`extract_brand` with the vendor cleaned already, empty if there is none."""
     several = F.array(*map(F.lit, sorted((b for b in brands if " " in b), key=lambda b: (-len(b), b)))) if any(" " in b for b in brands) else F.array().cast("array<string>")
     known = F.array(*map(F.lit, sorted(brands)))
-    maker = clean(F.coalesce(vendor, F.lit("")))
     inside = F.get(F.filter(several, lambda b: F.contains(cleaned, b) & F.regexp_like(cleaned, F.concat(F.lit(r"\b"), b, F.lit(r"\b")))), F.lit(0))
     return F.coalesce(
         inside,

@@ -84,8 +84,11 @@ TITLE_BRANDS = tuple(f"brand{i}" for i in range(1, 26))
 TITLE_VOCABULARY = Vocabulary(brands=(*BRANDS, *TITLE_BRANDS))
 
 
-def raw_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """offer_id, shop_id, title, vendor: the maker first, last or only as vendor; sizes plain, as packs, or with a count apart; accents and synonyms."""
+def raw_titles(spark: SparkSession, sf_dir: str, deal: bool = True) -> DataFrame:
+    """offer_id, shop_id, title, vendor: the maker first, last or only as vendor; sizes plain, as packs, or with a count apart; accents and synonyms.
+
+    `deal`: a small table's rows go to all cores.
+    """
     maker, size, key = F.translate("p_brand", "#", ""), F.col("p_size").cast("string"), F.col("p_partkey")
     said = F.when(key % 3 == 1, F.lit(None)).otherwise(maker)  # else the vendor alone tells
     title = (
@@ -97,7 +100,7 @@ def raw_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     cores = spark.sparkContext.defaultParallelism
-    if part.rdd.getNumPartitions() < cores:  # parsing titles is dear, and a small file would be one task
+    if deal and part.rdd.getNumPartitions() < cores:  # parsing titles is dear, and a small file would be one task
         part = part.repartition(cores)
     return part.select(key.alias("offer_id"), (key % 7).alias("shop_id"), title.alias("title"), F.when(key % 3 != 0, maker).alias("vendor"))
 
@@ -107,8 +110,22 @@ def titles(spark: SparkSession, sf_dir: str, vocabulary: Vocabulary = TITLE_VOCA
     return parse_titles(raw_titles(spark, sf_dir), vocabulary)
 
 
+def title_texts(spark: SparkSession, sf_dir: str, members: bool = False, vocabulary: Vocabulary = TITLE_VOCABULARY) -> DataFrame:
+    """brand, tokens, tag, n (titles), offer_ids (if `members`) of each distinct title and vendor: equal ones are parsed once, and written.
+
+    Written, because a filter or an explode on tokens would be pushed below the parsing, and repeat it with each use.
+    """
+    found = [F.count("*").alias("n"), *([F.collect_list("offer_id").alias("offer_ids")] if members else [])]
+    texts = raw_titles(spark, sf_dir, deal=False).groupBy("title", "vendor").agg(*found)
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parsed = parse_titles(texts.repartition(parts), vocabulary)
+    return kept(parsed.select("brand", "tokens", "tag", "n", *(["offer_ids"] if members else [])), "texts")
+
+
 def parse_titles(raw: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Adds brand, tokens, size and tag to rows with title and vendor."""
-    step = raw.withColumn("__clean", text.clean(F.col("title"))).withColumn("brand", text.extract_brand(F.col("__clean"), F.col("vendor"), vocabulary.brands))
-    step = step.withColumn("tokens", text.tokens(F.col("__clean"), F.col("brand"), vocabulary)).withColumn("size", text.parse_size(F.col("title")))
-    return step.withColumn("tag", text.size_tag(F.col("size.base_value"), F.col("size.base_unit"))).drop("__clean")
+    # each step a column of its own: expressions that use one several times would repeat all that it is made of
+    step = raw.withColumns({"__folded": F.lower(text.fold(F.col("title"))), "__maker": text.clean(F.coalesce("vendor", F.lit("")))}).withColumn("__clean", text.clean_folded(F.col("__folded")))
+    step = step.withColumns({"brand": text.brand_of(F.col("__clean"), F.col("__maker"), vocabulary.brands), "__said": F.coalesce("__folded", F.lit(""))})
+    step = step.withColumns({"tokens": text.tokens(F.col("__clean"), F.col("brand"), vocabulary), "size": text.parse_folded_size(F.col("__said"))})
+    return step.withColumn("tag", text.size_tag(F.col("size.base_value"), F.col("size.base_unit"))).drop("__folded", "__maker", "__clean", "__said")
